@@ -9,6 +9,24 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import find_matches, summary
+from .packing import pack
+from .token_counts import count_tokens
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), byte_bpe(), keep=["doc_id"], size=2048, end_id=0)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents"), byte_bpe(), keep=["doc_id"])
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
