@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stash, table
 from .decontaminate import find_matches, summary
 from .packing import pack
+from .sharding import histogram_sort
 from .token_counts import count_tokens
 
 
@@ -37,6 +38,27 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_group_key(text: str, row: str) -> Column:
+    """Equal texts side by side in the order of keys (the upper 40 bits), each row apart (the lower 24)."""
+    low = F.lit((1 << 24) - 1)
+    return F.xxhash64(F.col(text)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.xxhash64(F.col(row)).bitwiseAND(low))
+
+
+def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    narrow = stash(
+        docs.select(
+            "doc_id",
+            (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+            F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+            text_group_key("text", "doc_id").alias("key"),
+        ),
+        "shard-input",
+    )
+    sharded = histogram_sort(narrow, F.col("key"), F.col("size"), shards=24)
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
