@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_texts
-from .encoders import load
+from .encoders import encode_many, load
 
 FIELDS = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
 CHUNK, OVERLAP = 1 << 16, 256
@@ -71,7 +71,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: l
         def count(texts: pa.Array) -> list:
             texts = texts.fill_null("")
             chars, all_texts = pc.utf8_length(texts).to_pylist(), texts.to_pylist()
-            usual = iter(t.encode_batch_fast([x for x, n in zip(all_texts, chars, strict=True) if n <= chunk], add_special_tokens=False))
+            usual = iter(encode_many(tokenizer, [x for x, n in zip(all_texts, chars, strict=True) if n <= chunk]))
             return [pc.binary_length(texts).cast(pa.int64()), [len(next(usual)) if n <= chunk else len(chunked_ids(t, x, chunk, overlap)) for x, n in zip(all_texts, chars, strict=True)]]
 
         return count
