@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import fresh_path, stash, table
 from .decontaminate import find_matches, summary
 from .packing import pack
 from .sharding import histogram_sort
 from .token_counts import count_tokens
+from .warc import classify, read_warc, write_warc
 
 
 def byte_bpe() -> str:
@@ -59,6 +60,23 @@ def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    write_warc(classify(table(spark, sf_dir, "pages"), least=0), path)
+    page = lambda name: F.regexp_extract(F.col("headers")[name], "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    return (
+        read_warc(spark, path, "part-*")
+        .where("kind = 'record'")
+        .select(
+            page("warc-record-id").alias("page_id"),
+            F.col("headers")["x-payload-length"].cast("long").alias("payload_bytes"),
+            F.regexp_replace(F.col("headers")["warc-payload-digest"], "^sha1:", "").alias("payload_digest"),
+            F.col("headers")["warc-type"].alias("record_type"),
+            page("warc-refers-to").alias("refers_to"),
+        )
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
