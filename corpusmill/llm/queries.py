@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .common import fresh_path, stash, table
 from .decontaminate import find_matches, summary
 from .packing import pack
@@ -60,6 +61,11 @@ def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_warc(classify(table(spark, sf_dir, "pages"), least=0), path)
