@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import search
 from .common import fresh_path, stash, table
 from .decontaminate import find_matches, summary
+from .minhash import near_duplicates
 from .packing import pack
 from .sharding import histogram_sort
 from .token_counts import count_tokens
@@ -61,6 +62,10 @@ def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

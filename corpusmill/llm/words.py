@@ -79,7 +79,7 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
     h = np.zeros(n, np.uint64)
     for j in range(k):
-        h[: n - j if j else n] += mix(words[j:] + np.uint64(j + 1))
+        h[: max(0, n - j)] += mix(words[j:] + np.uint64(j + 1))
     doc = doc_of(first)
     whole = np.arange(n) + k <= first[1:][doc]
     short = np.flatnonzero((count > 0) & (count < k))
