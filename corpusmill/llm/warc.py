@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,6 @@ from .common import settle, stash
 
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
-_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORD = T.StructType(
     [
         T.StructField("file", T.StringType()),
@@ -36,28 +35,21 @@ RECORD = T.StructType(
 )
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1 of a binary column, from built-in functions: 160 bits are 32 digits of 5 bits."""
-    bits = F.concat(*[F.lpad(F.bin(F.conv(F.substring(F.sha1(payload), 8 * k + 1, 8), 16, 10).cast("long")), 32, "0") for k in range(5)])
-    digits = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda k: F.substring(F.lit(_BASE32), F.conv(F.substring(bits, k * 5 + 1, F.lit(5)), 2, 10).cast("int") + 1, F.lit(1)))
-    return F.array_join(digits, "")
-
-
 def classify(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
-    """page_id, payload (UTF-8; null html is empty), payload_bytes, payload_digest, record_type and refers_to.
+    """page_id, payload (UTF-8; null html is empty), payload_bytes, payload_sha1 (20 bytes), record_type and refers_to.
 
     Of pages with equal payloads of at least least bytes the one of the smallest page_id is a response, the others are revisits of it;
     a null page_id comes last, and pages of the same smallest id are all responses. Smaller payloads are all responses.
     """
     payload = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "__sha": F.unhex(F.sha1("payload"))})
+    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.unhex(F.sha1("payload"))})
     # only digests are grouped, with partial sums before the exchange; a digest of its own needs no partner. As a table of its own the
     # rest is broadcast if it is small, and otherwise joined so that a common digest can be split.
-    groups = stash(rows.groupBy("__sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("__sha", "first"), "copies")
-    joined = rows.join(groups, "__sha", "left")
+    groups = stash(rows.groupBy("payload_sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_sha1", "first"), "copies")
+    joined = rows.join(groups, "payload_sha1", "left")
     again = (F.col("payload_bytes") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
-        "page_id", "payload", "payload_bytes", base32_sha1(F.col("payload")).alias("payload_digest"), F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")
+        "page_id", "payload", "payload_bytes", "payload_sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")
     )
 
 
@@ -71,12 +63,13 @@ def record_bytes(headers: list[tuple[str, str]], block: bytes, compress: bool =
 def write_warc(classified: DataFrame, path: str, *, urls: str | None = None, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 4096) -> None:
     """Writes classify()'s rows as gzipped WARC files under path, one for each task and records_per_file records. urls: a column with the target URI."""
     settle(classified.sparkSession)
-    src = classified.select("page_id", F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "record_type", "refers_to", (F.col(urls) if urls else F.lit(None).cast("string")).alias("url"))
+    src = classified.select("page_id", F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"), "payload_bytes", "payload_sha1", "record_type", "refers_to", (F.col(urls) if urls else F.lit(None).cast("string")).alias("url"))
 
     def encode(batches):
         for b in batches:
             out = []
-            for page, payload, n, digest, kind, refers, url in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page, payload, n, sha, kind, refers, url in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                digest = base64.b32encode(sha).decode()
                 uri = "".join(c for c in url or "" if c >= " ") or f"urn:page:{page}"
                 headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(n))]
                 if kind == "revisit":
