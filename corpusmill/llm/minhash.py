@@ -39,7 +39,8 @@ def weighted(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     counts = np.diff(np.append(starts, len(key)))
     key = key[starts]
-    return key & _LOW, counts, np.searchsorted(key, np.arange(len(texts) + 1, dtype=np.uint64) << np.uint64(54))
+    begins = np.searchsorted(key, np.arange(len(texts), dtype=np.uint64) << np.uint64(54))
+    return key & _LOW, counts, np.append(begins, len(key))
 
 
 def weight(counts: np.ndarray) -> np.ndarray:
