@@ -13,6 +13,7 @@ from .decontaminate import find_matches, summary
 from .minhash import near_duplicates
 from .packing import pack
 from .pii import KINDS, find_personal, joined
+from .quality import resample
 from .sharding import histogram_sort
 from .token_counts import count_tokens
 from .warc import classify, read_warc, write_warc
@@ -75,6 +76,10 @@ def op7_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

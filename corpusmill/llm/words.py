@@ -12,6 +12,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[65:91] = _IS_WORD[97:123] = _IS_WORD[128:] = True
+#: 0: control characters and space, 1: in words, 2: other
+_KIND = np.where(_IS_WORD, 1, np.where((np.arange(256) > 32) & (np.arange(256) != 127), 2, 0)).astype(np.uint8)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -37,36 +39,40 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Begin and end byte of each word; words end where their text ends."""
-    n = len(data)
+def run_bounds(kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end byte of each run of equal kinds but 0; runs end where their text ends."""
+    n = len(kinds)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    is_word = _IS_WORD[data]
-    begins = is_word.copy()
-    begins[1:] &= ~is_word[:-1]
-    ends = is_word.copy()
-    ends[:-1] &= ~is_word[1:]
-    inner = at[(at > 0) & (at < n)]
-    begins[inner] = is_word[inner]
-    ends[inner - 1] = is_word[inner - 1]
-    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    some, change = kinds > 0, np.ones(n + 1, bool)
+    change[1:n] = kinds[1:] != kinds[:-1]
+    change[at[(at > 0) & (at < n)]] = True
+    return np.flatnonzero(some & change[:-1]), np.flatnonzero(some & change[1:]) + 1
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of the texts in data, and the index of each text's first word (one more entry than texts)."""
-    begins, ends = word_bounds(data, at)
+def _hashes(data: np.ndarray, kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    begins, ends = run_bounds(kinds, at)
     if not len(begins):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
     power, unpower = _power_tables(len(data) + 1)
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
-    np.multiply(_LOWER[data], power[: len(data)], out=sums[1:])
+    np.multiply(data, power[: len(data)], out=sums[1:])
     np.cumsum(sums[1:], out=sums[1:])
     h = (sums[ends] - sums[begins]) * unpower[begins]
     return mix(h + (ends - begins).astype(np.uint64)), np.searchsorted(begins, at)
 
 
+def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts in data, and the index of each text's first word (one more entry than texts)."""
+    return _hashes(_LOWER[data], _IS_WORD[data].view(np.uint8), at)
+
+
+def token_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As word_hashes, for case-sensitive words and runs of other printable characters."""
+    return _hashes(data, _KIND[data], at)
+
+
 def doc_of(first: np.ndarray) -> np.ndarray:
     """The text of each word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
