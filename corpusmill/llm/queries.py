@@ -16,6 +16,7 @@ from .pii import KINDS, find_personal, joined
 from .quality import resample
 from .sharding import histogram_sort
 from .token_counts import count_tokens
+from .urls import Rule, judge
 from .warc import classify, read_warc, write_warc
 
 
@@ -25,6 +26,14 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The rules of the query, as host, path and verdict.
+URL_RULES = [Rule("com", "/", "allow"), Rule("example.com", "/en/", "block"), Rule("www.example.com", "/en/", "allow"), Rule("net", "/es/", "block"), Rule("net", "/fr/", "block")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), byte_bpe(), keep=["doc_id"], size=2048, end_id=0)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
