@@ -23,8 +23,8 @@ from .words import doc_of, mix, shingles, word_hashes
 
 SLOTS, BAND = 160, 5
 SHINGLE, SIMILARITY = 5, 0.8
-#: Pairs are looked at by their texts only from this estimate on: five and more standard errors below the threshold.
-ESTIMATE = 0.62
+#: What a pivot leaves open is estimated again with so many slots before texts are compared.
+LONG_SLOTS = 1_024
 #: Entries of a bucket that meet others in one group.
 BLOCK = 1_024
 _LOW = np.uint64((1 << 54) - 1)
@@ -104,6 +104,33 @@ def similarity(a: str | None, b: str | None) -> float:
     return probability_jaccard(e[: f[1]], c[: f[1]], e[f[1] :], c[f[1] :])
 
 
+def floor(threshold: float, slots: int) -> float:
+    """An estimate from so many slots that a pair at the threshold falls below once in some million times."""
+    return threshold - 5 * float(np.sqrt(threshold * (1 - threshold) / slots))
+
+
+def bytes_of(sig: np.ndarray) -> list[bytes]:
+    """A byte for each slot: enough to compare signatures, where one in 256 agrees by chance."""
+    return [row.tobytes() for row in (mix(sig) >> np.uint64(56)).astype(np.uint8)]
+
+
+def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
+
+
+def longer(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, long_signature) for the texts (id, text) of ids."""
+
+    def make():
+        def run(batch: pa.Array) -> list:
+            e, c, f = weighted(batch)
+            return [bytes_of(signatures(e, weight(c), f, LONG_SLOTS))]
+
+        return run
+
+    return map_texts(texts.join(sized(ids), "id", "left_semi"), "text", ["id"], [T.StructField("long_signature", T.BinaryType())], make, 1 << 18)
+
+
 def sketch(docs: DataFrame, id: str, text: str) -> DataFrame:
     def make():
         def run(texts: pa.Array) -> list:
@@ -114,7 +141,7 @@ def sketch(docs: DataFrame, id: str, text: str) -> DataFrame:
             sums = [np.concatenate([zero, np.cumsum(h, dtype=np.uint64)]) for h in (counted, mix(counted))]
             bands = band_hashes(sig)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.reshape(-1)))
-            return [*((s[f[1:]] - s[f[:-1]]).view(np.int64) for s in sums), np.diff(f), lists, [row.tobytes() for row in (mix(sig) >> np.uint64(56)).astype(np.uint8)]]
+            return [*((s[f[1:]] - s[f[:-1]]).view(np.int64) for s in sums), np.diff(f), lists, bytes_of(sig)]
 
         return run
 
@@ -140,8 +167,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, similarity double")
 
 
-def left_over(entries: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of a bucket that its pivot leaves open, by signature. entries: bucket, id, component, role (out, mid, in), signature.
+def left_over(entries: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of a bucket that its pivot leaves open, by signatures. entries: bucket, id, component, role (out, mid, in), signature, long_signature.
 
     Of a bucket, out and mid members (of other components than the pivot's) meet each other, mid ones also those of the pivot's component. Larger buckets
     meet in blocks, so that no group is larger than two of them.
@@ -150,13 +177,13 @@ def left_over(entries: DataFrame, least: float) -> DataFrame:
     sizes = stash(entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     placed = entries.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    met = placed.withColumn("other", F.explode(others)).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "role", "signature")
+    met = placed.withColumn("other", F.explode(others)).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "role", "signature", "long_signature")
     rank = {"out": 0, "mid": 1, "in": 2}
 
     def meet(group: pa.Table) -> pa.Table:
         ids, comp, block = (group.column(c).to_numpy() for c in ("id", "component", "block"))
         role = np.array([rank[r] for r in group.column("role").to_pylist()])
-        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        sig, long = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint8).reshape(len(ids), -1) for c in ("signature", "long_signature"))
         one_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
         a_out, b_out = [], []
         open_ = np.flatnonzero(role < 2)
@@ -165,8 +192,8 @@ def left_over(entries: DataFrame, least: float) -> DataFrame:
             may &= (role == 2) | (ids < ids[k])
             rows = np.flatnonzero(may)
             if len(rows):
-                same = (sig[rows] == sig[k]).mean(axis=1)
-                near = rows[(same - 1 / 256) / (1 - 1 / 256) >= least]
+                near = rows[agreement(sig[rows], sig[k]) >= floor(threshold, sig.shape[1])]
+                near = near[agreement(long[near], long[k]) >= floor(threshold, long.shape[1])]
                 a_out.append(np.minimum(ids[near], ids[k]))
                 b_out.append(np.maximum(ids[near], ids[k]))
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
@@ -208,7 +235,8 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     own = shared.join(open_.where("mid").select("bucket", "cp"), "bucket").join(found, "id").where("component = cp").select("bucket", "id", "component", F.lit("in").alias("role"))
     rest = apart.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "id", F.col("ci").alias("component"), F.when(F.col("mid"), "mid").otherwise("out").alias("role"))
     remaining = stash(rest.unionByName(own).join(nodes.select("id", "signature"), "id"), "remaining")
-    more = stash(left_over(remaining, ESTIMATE if threshold == SIMILARITY else max(0.0, threshold - 0.18)), "more")
+    long = stash(longer(texts, stash(remaining.select("id").distinct(), "needed")), "longer")
+    more = stash(left_over(remaining.join(long, "id"), threshold), "more")
     again = stash(verify(more, texts), "checked")
     new_links = again.where(F.col("similarity") >= threshold).select("a", "b")
     if new_links.limit(1).count():
