@@ -37,3 +37,18 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             break
         current = after
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def without(docs: DataFrame, classes: DataFrame, id: str) -> DataFrame:
+    """docs without the rows whose class (id, class_id) is named by another id; of rows that share an id, and a place in their class, one stays.
+
+    Rows without an id stay. What goes is a narrow table of ids: it is broadcast if it is counted to be small, and documents are not exchanged.
+    """
+    gone = stash(classes.where("id IS NOT NULL AND class_id IS NOT NULL AND id <> class_id").select("id").distinct(), "gone")
+    twice = stash(classes.where("id IS NOT NULL AND id = class_id").groupBy("id").count().where("count > 1").select("id"), "twice")
+    left = docs.join(sized(gone.withColumnRenamed("id", "__gone")), F.col(f"`{id}`") == F.col("__gone"), "left_anti")
+    if not twice.limit(1).count():
+        return left
+    again = sized(twice.withColumnRenamed("id", "__twice"))
+    same = F.col(f"`{id}`") == F.col("__twice")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id]))
