@@ -13,7 +13,7 @@ import re
 from functools import lru_cache
 
 #: Characters whose classes have been the same in every Unicode version that libraries use, without rare kinds of space.
-_PLAIN = re.compile("[\t\n\r -~\xa1-\xac\xae-ɏ‐-‧‰-⁞]*")
+_PLAIN = re.compile("[\\t\\n\\r -~\\xa1-\\xac\\xae-\\u024f\\u2010-\\u2027\\u2030-\\u205e]*")
 #: Fixed value: how byte-level BPE vocabularies of this family cut a text before merging.
 GPT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -5,8 +5,8 @@ arrives first. Two signatures then agree in a slot with the probability Jaccard
 later than the latest first arrival of any slot.
 
 Candidates share a band. Within a bucket every member is compared with one pivot, not with all others; that finds the links of groups of any
-size. What a pivot can't decide is completed: members of other components are compared among themselves, and with the pivot's own only if they
-are near enough to it (1 - similarity is a metric, so below 0.6 to the pivot no link to a member at 0.8 is possible), by signature first and text last.
+size. What a pivot can't decide is completed: members of different components are compared with each other if their similarities to the pivot allow it (1 - similarity
+is a metric, so at 0.5 and 0.8 to the pivot they can't be linked), by signatures first and texts last.
 """
 
 from __future__ import annotations
@@ -168,39 +168,37 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def left_over(entries: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of a bucket that its pivot leaves open, by signatures. entries: bucket, id, component, role (out, mid, in), signature, long_signature.
+    """Pairs (a, b) that the pivots leave open and signatures can't rule out, each once. entries: bucket, id, component, near (similarity to the bucket's pivot), bands,
+    signature, long_signature.
 
-    Of a bucket, out and mid members (of other components than the pivot's) meet each other, mid ones also those of the pivot's component. Larger buckets
-    meet in blocks, so that no group is larger than two of them.
+    Only members of different components whose similarities to the pivot differ by no more than 1 - threshold can be linked. A pair is looked at in the first bucket that
+    it shares. Larger buckets meet in blocks, so that no group is larger than two of them.
     """
-    spark = entries.sparkSession
-    sizes = stash(entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
-    placed = entries.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    met = placed.withColumn("other", F.explode(others)).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "role", "signature", "long_signature")
-    rank = {"out": 0, "mid": 1, "in": 2}
+    spark = settle(entries.sparkSession)
+    sizes = entries.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket", "blocks")
+    placed = entries.join(stash(sizes, "sizes"), "bucket").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "near", "bands", "signature", "long_signature")
+    apart = 1 - threshold + 1e-9
 
     def meet(group: pa.Table) -> pa.Table:
-        ids, comp, block = (group.column(c).to_numpy() for c in ("id", "component", "block"))
-        role = np.array([rank[r] for r in group.column("role").to_pylist()])
+        ids, comp, block, near = (group.column(c).to_numpy() for c in ("id", "component", "block", "near"))
         sig, long = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint8).reshape(len(ids), -1) for c in ("signature", "long_signature"))
-        one_block = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        bucket, one_block = group.column("bucket")[0].as_py(), group.column("i")[0] == group.column("j")[0]
         a_out, b_out = [], []
-        open_ = np.flatnonzero(role < 2)
-        for k in open_:
-            may = (comp != comp[k]) & ((role < 2) | (role[k] == 1)) & (one_block | (block != block[k]))
-            may &= (role == 2) | (ids < ids[k])
-            rows = np.flatnonzero(may)
+        for k in range(len(ids)):
+            rows = np.flatnonzero((ids < ids[k]) & (comp != comp[k]) & (np.abs(near - near[k]) <= apart) & (one_block | (block != block[k])))
+            rows = rows[agreement(sig[rows], sig[k]) >= floor(threshold, sig.shape[1])]
+            rows = rows[agreement(long[rows], long[k]) >= floor(threshold, long.shape[1])]
             if len(rows):
-                near = rows[agreement(sig[rows], sig[k]) >= floor(threshold, sig.shape[1])]
-                near = near[agreement(long[near], long[k]) >= floor(threshold, long.shape[1])]
-                a_out.append(np.minimum(ids[near], ids[k]))
-                b_out.append(np.maximum(ids[near], ids[k]))
+                rows = rows[bands[k][(bands[rows] == bands[k]).argmax(axis=1)] == bucket]
+                a_out.append(ids[rows])
+                b_out.append(np.full(len(rows), ids[k]))
         join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.table({"a": join(a_out), "b": join(b_out)}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    settle(spark)
-    return met.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long").distinct()
+    return met.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -225,17 +223,16 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     checked = stash(verify(pairs, texts), "checked")
     links = checked.where(F.col("similarity") >= threshold).select("a", "b")
     found = stash(components(links), "components")
-    # what the pivots left open
-    beside = checked.where(F.col("similarity") < threshold).select(F.col("a").alias("pivot"), F.col("b").alias("id"), (F.col("similarity") >= 2 * threshold - 1).alias("mid"))
-    apart = shared.join(beside, ["pivot", "id"]).select("bucket", "pivot", "id", "mid")
-    apart = apart.join(found.withColumnRenamed("component", "cp").withColumnRenamed("id", "pivot"), "pivot", "left").join(found.withColumnRenamed("component", "ci"), "id", "left")
-    apart = apart.withColumns({"cp": F.coalesce("cp", "pivot"), "ci": F.coalesce("ci", "id")}).where("cp <> ci")
-    apart = stash(apart, "apart")
-    open_ = stash(apart.groupBy("bucket").agg(F.max("mid").alias("mid"), F.min("ci").alias("c0"), F.max("ci").alias("c1"), F.first("cp").alias("cp")).where("mid OR c0 < c1"), "open")
-    own = shared.join(open_.where("mid").select("bucket", "cp"), "bucket").join(found, "id").where("component = cp").select("bucket", "id", "component", F.lit("in").alias("role"))
-    rest = apart.join(open_.select("bucket"), "bucket", "left_semi").select("bucket", "id", F.col("ci").alias("component"), F.when(F.col("mid"), "mid").otherwise("out").alias("role"))
-    remaining = stash(rest.unionByName(own).join(nodes.select("id", "signature"), "id"), "remaining")
-    long = stash(longer(texts, stash(remaining.select("id").distinct(), "needed")), "longer")
+    # what the pivots leave open: members of other components than the pivot's, and those of its own that one of these may be near to
+    known = shared.join(checked.select(F.col("a").alias("pivot"), F.col("b").alias("id"), F.col("similarity").alias("near")), ["pivot", "id"])
+    known = known.join(found.withColumnsRenamed({"component": "cp", "id": "pivot"}), "pivot", "left").join(found, "id", "left")
+    known = stash(known.select("bucket", "id", "near", F.coalesce("cp", "pivot").alias("cp"), F.coalesce("component", "id").alias("component")), "known")
+    outside = stash(known.where("component <> cp").groupBy("bucket").agg(F.max("near").alias("nearest")), "outside")
+    remaining = known.join(outside, "bucket").where((F.col("component") != F.col("cp")) | (F.col("near") <= F.col("nearest") + (1 - threshold)))
+    remaining = stash(remaining.select("bucket", "id", "component", "near"), "remaining")
+    several = stash(remaining.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("bucket"), "several")
+    remaining = stash(remaining.join(several, "bucket", "left_semi"), "remaining")
+    long = stash(longer(texts, stash(remaining.select("id").distinct(), "needed")).join(nodes, "id"), "longer")
     more = stash(left_over(remaining.join(long, "id"), threshold), "more")
     again = stash(verify(more, texts), "checked")
     new_links = again.where(F.col("similarity") >= threshold).select("a", "b")
