@@ -7,9 +7,11 @@ from collections.abc import Iterable
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import ship
+
 # Character classes as Java regular expressions write them.
 WS = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
@@ -27,25 +29,29 @@ def compatible(texts: pa.Array) -> pa.Array:
 
 
 def nfkc(text: Column) -> Column:
+    ship(SparkSession.active())
     return F.arrow_udf(compatible, "string")(text)
 
 
 def strip(text: Column) -> Column:
     """Unicode white space off both ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{WS}+", ""), f"{WS}+$", "")
+    return F.regexp_replace(F.regexp_replace(text, rf"\A{WS}++", ""), rf"{WS}++\z", "")
 
 
 def without_tatweel(text: Column) -> Column:
-    return F.translate(text, TATWEEL, "")
+    return F.replace(text, F.lit(TATWEEL), F.lit(""))
 
 
 def without_diacritics(text: Column) -> Column:
-    return F.regexp_replace(text, DIACRITIC, "")
+    return F.regexp_replace(text, f"{DIACRITIC}+", "")
 
 
 def tidy_whitespace(text: Column) -> Column:
-    """Line ends to LF, runs of other blanks to one space, none around line ends, at most one blank line, stripped."""
-    for pattern, to in ((r"\r\n?", "\n"), (r"[ \t\f\x0B]+", " "), (r" *\n *", "\n"), (r"\n{3,}", "\n\n")):
+    """Line ends to LF, runs of other blanks to one space, none around line ends, at most one blank line, stripped.
+
+    The patterns match only where something changes: a text that is tidy is scanned, not rebuilt.
+    """
+    for pattern, to in ((r"\r\n?", "\n"), (r"[\t\f\x0B][ \t\f\x0B]*+| [ \t\f\x0B]++", " "), (r" ++\n *+|\n ++", "\n"), (r"\n{3,}+", "\n\n")):
         text = F.regexp_replace(text, pattern, to)
     return strip(text)
 
@@ -65,15 +71,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"{WS}+", -1), lambda w: w != "")
 
 
+def counted(text: Column, kind: str) -> Column:
+    """How many characters are of a class: what is left without runs of others. Runs are far fewer than characters."""
+    return F.char_length(F.regexp_replace(text, f"[^{kind[1:-1]}]++", ""))
+
+
 def script_ratio(text: Column, script: str) -> Column:
     """Characters in the script's block by letters; over 1 where the block has more than letters; 0 without letters."""
-    letters = F.regexp_count(text, F.lit(LETTER))
-    return F.when(letters == 0, 0.0).otherwise(F.regexp_count(text, F.lit(SCRIPTS[script])) / letters)
+    return safe_divide(counted(text, SCRIPTS[script]), counted(text, LETTER))
 
 
 def script_share(text: Column, script: str) -> Column:
     """Characters in the script's block by all characters."""
-    return safe_divide(F.regexp_count(text, F.lit(SCRIPTS[script])), F.char_length(text))
+    return safe_divide(counted(text, SCRIPTS[script]), F.char_length(text))
 
 
 def unique_ratio(parts: Column) -> Column:

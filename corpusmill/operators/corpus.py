@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..tables import stash
 from .ordering import running
 
 
@@ -54,11 +53,16 @@ def passes(profile: Profile, line: Column) -> Column:
 
 
 def normalized_lines(docs: DataFrame, profile: Profile, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, pos, raw, line (normalized, none empty). NFKC runs once for each document: it never crosses a line boundary."""
+    """id, pos, raw, line (normalized, none empty). NFKC runs once for each document: it never crosses a line boundary.
+
+    Lines are normalized before they are taken apart, so what follows reads a column and doesn't work it out again for each rule.
+    """
     src = docs.select(id, (X.nfkc(F.col(text)) if profile.compatibility and not profile.on_raw else F.col(text)).alias("__text"))
-    out = document_lines(src, id, "__text")
-    whole = X.normalized(F.col("raw"), compatibility=profile.compatibility and profile.on_raw)
-    return out.withColumn("line", whole).where("line <> ''")
+    if profile.on_raw and profile.compatibility:
+        found = document_lines(src, id, "__text").select(id, "pos", "raw", X.normalized(F.col("raw")).alias("line"))
+        return found.where("line <> ''")
+    both = F.transform(X.lines(F.col("__text")), lambda x: F.struct(x.alias("raw"), X.normalized(x, compatibility=False).alias("line")))
+    return src.select(id, F.posexplode(both).alias("pos", "l")).select(id, "pos", "l.raw", "l.line").where("line <> ''")
 
 
 def verdicts(lines: DataFrame, blocked: DataFrame | None, profile: Profile, *, order: list[str], order_of_tests: str = "quality,eval,duplicate", name: str = "eval") -> DataFrame:
@@ -110,14 +114,17 @@ def counters(judged: DataFrame, *by: str) -> DataFrame:
 def until(judged: DataFrame, target: int, *, order: list[str], document: str | None = None) -> DataFrame:
     """The rows up to the one that reaches so many accepted; with document, up to the end of its document. All of them if the target isn't reached.
 
-    What lies behind isn't counted, so counters() of the result are those of a build that stops there.
+    What lies behind isn't counted, so counters() of the result are those of a build that stops there. judged is read twice; a written table is best.
     """
-    summed = stash(running(judged, order, {"accepted_so_far": (F.col("verdict") == "accepted").cast("long")}), "until")
-    if document is None:
-        # the row that reaches the target is the last: behind it there are as many accepted before
-        return summed.where((F.col("accepted_so_far") < target) | ((F.col("accepted_so_far") == target) & (F.col("verdict") == "accepted"))).drop("accepted_so_far")
-    stop = summed.where(F.col("accepted_so_far") >= target).agg(F.min(document)).first()[0]
-    return (summed if stop is None else summed.where(F.col(document) <= F.lit(stop))).drop("accepted_so_far")
+    summed = running(judged.select(*order, "verdict"), order, {"accepted_so_far": (F.col("verdict") == "accepted").cast("long")})
+    reached = summed.where((F.col("accepted_so_far") == target) & (F.col("verdict") == "accepted")).select(*order).first()
+    if reached is None:
+        return judged
+    if document is not None:
+        return judged.where(F.col(document) <= F.lit(reached[document]))
+    # up to the row that reaches the target, in the order
+    last = F.struct(*[F.lit(reached[k]).cast(judged.schema[k].dataType).alias(k) for k in order])
+    return judged.where(F.struct(*order) <= last)
 
 
 def stored(text: Column) -> Column:

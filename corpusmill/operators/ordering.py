@@ -11,14 +11,14 @@ from ..tables import stash
 def running(df: DataFrame, order: list[Column | str], totals: dict[str, Column]) -> DataFrame:
     """df with, for each name in totals, the sum of that column over all rows up to and with each row in the order.
 
-    The rows are dealt by ranges of the order and written once; each range's total is one small row, and a range adds what lies before it to its own running sum.
+    The rows are written, so that drawing ranges doesn't work them out again, dealt by ranges of the order and written once more; each range's total is one small row, and a range adds what lies before it to its own running sum.
     The order should be total: rows of equal keys are in one range, in any order.
     """
     keys = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.select("*", *[c.alias(f"__{n}") for n, c in totals.items()], *[k.alias(f"__k{i}") for i, k in enumerate(keys)])
+    given = stash(df.select("*", *[c.alias(f"__{n}") for n, c in totals.items()], *[k.alias(f"__k{i}") for i, k in enumerate(keys)]), "given")
     by = [F.col(f"__k{i}") for i in range(len(keys))]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stash(ranged.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()), "ranges")
+    ranged = stash(given.repartitionByRange(parts, *by).withColumn("__part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # of at most parts rows
     offsets = ranged.groupBy("__part").agg(*[F.sum(f"__{n}").alias(f"__sum_{n}") for n in totals])
     offsets = offsets.select("__part", *[F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__before_{n}") for n in totals])

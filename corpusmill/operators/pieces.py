@@ -78,6 +78,11 @@ def split_in_order(rows: DataFrame, share: float, order: list[str]) -> DataFrame
     return ranked.withColumn("split", F.when(F.col("__n") <= int(n * share), "train").otherwise("validation")).drop("__n")
 
 
+def split_stream(stream: DataFrame, share: float) -> DataFrame:
+    """As split_in_order, for rows that are numbered already: pos from 0 without gaps."""
+    return stream.withColumn("split", F.when(F.col("pos") < int(stream.count() * share), "train").otherwise("validation"))
+
+
 def in_shards(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
     """rows with shard: the first so many of the order are 0, the next 1, and so on; the last may be short."""
     ranked = numbered(rows, order, "__n")

@@ -13,8 +13,8 @@ def length_ranks(rows: DataFrame, length: str, by: list[str], ranks: dict[str, C
     """For each group the length at given ranks (from 0; expressions over n, the group's size). Rows are first counted by length, so a group is no task of
     its own however large it is."""
     counted = rows.groupBy(*by, length).agg(F.count("*").alias("c"))
-    up_to = Window.partitionBy(*by).orderBy(length).rowsBetween(Window.unboundedPreceding, 0) if by else Window.partitionBy(F.lit(0)).orderBy(length).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    up_to = Window.partitionBy(*by).orderBy(length).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by)
     summed = counted.withColumn("__to", F.sum("c").over(up_to)).withColumn("n", F.sum("c").over(whole))
     at = [F.max(F.when((F.col("__to") - F.col("c") <= r) & (r < F.col("__to")), F.col(length))).alias(name) for name, r in ranks.items()]
     return summed.groupBy(*by).agg(*at)
@@ -25,13 +25,14 @@ def text_profile(texts: DataFrame, text: str, by: list[str], script: str = "arab
 
     Medians are the element at half the count of the sorted lengths, p90 that at nine tenths. Groups without texts have no row.
     """
-    src = texts.select(*by, F.col(text).alias("t")).where("t <> ''").select("*", F.char_length("t").cast("long").alias("n_chars"))
+    given, by = by, by or ["__all"]
+    src = (texts if given else texts.withColumn("__all", F.lit(0))).select(*by, F.col(text).alias("t")).where("t <> ''").select("*", F.char_length("t").cast("long").alias("n_chars"))
     whole = src.groupBy(*by).agg(
         F.count("*").alias("lines"),
         F.sum("n_chars").alias("chars"),
         F.min("n_chars").alias("min_len"),
         F.max("n_chars").alias("max_len"),
-        F.sum(F.regexp_count("t", F.lit(X.SCRIPTS[script])).cast("long")).alias("script_chars"),
+        F.sum(X.counted(F.col("t"), X.SCRIPTS[script]).cast("long")).alias("script_chars"),
         F.sum(F.size(X.words(F.col("t"))).cast("long")).alias("words"),
         F.sum((~F.is_valid_utf8("t")).cast("long")).alias("invalid_utf8"),
         F.sum(X.odd_whitespace(F.col("t")).cast("long")).alias("whitespace_anomalies"),
@@ -41,14 +42,11 @@ def text_profile(texts: DataFrame, text: str, by: list[str], script: str = "arab
     n = F.col("n")
     lengths = length_ranks(src, "n_chars", by, {"p50_len": F.floor(n / 2), "p90_len": F.floor(n * 0.9)})
 
-    def beside(a: DataFrame, b: DataFrame) -> DataFrame:
-        return a.join(b, by, "left") if by else a.crossJoin(b)  # one row each
-
     out = whole
     for other in (distinct_words, distinct_texts, lengths):
-        out = beside(out, other)
-    return out.where("lines > 0").select(
-        *by,
+        out = out.join(other, by, "left")
+    return out.select(
+        *given,
         "lines",
         X.safe_divide(F.col("chars"), F.col("lines")).alias("mean_len"),
         "min_len",

@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..tables import ship
 from .ordering import running
 
 #: How byte-level tokenizers cut a text before merging, as a Java regular expression.
@@ -28,6 +29,8 @@ def _load(path: str):
 def encoded(path: str, text: Column) -> Column:
     """struct(ids, same): a text's ids, and whether decoding them gives the text again. A null text gives null."""
 
+    ship(SparkSession.active())
+
     @F.arrow_udf("struct<ids: array<int>, same: boolean>")
     def run(texts: pa.Array) -> pa.Array:
         t, given = _load(path), texts.to_pylist()

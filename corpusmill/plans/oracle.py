@@ -179,8 +179,8 @@ SELECT r.reason, count(u.doc_id) AS n, arg_min(u.head, u.doc_id) AS example FROM
         "category_union": "SELECT lang, count(*) AS n, sum(doc_id)::BIGINT AS ids FROM (SELECT doc_id, lang FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang FROM documents WHERE lang = 'fr') GROUP BY lang",
         "verdict_counters": f"WITH {JUDGED} SELECT {VERDICTS} FROM judged",
         "verdict_counters_by_source": f"WITH {JUDGED} SELECT source, verdict, count(*) AS n FROM judged GROUP BY source, verdict",
-        "accept_until_target_exact": f"WITH {JUDGED} SELECT {VERDICTS} FROM summed WHERE (doc_id, pos) <= (SELECT (doc_id, pos) FROM summed WHERE so_far = 2000 AND verdict = 'accepted')",
-        "accept_until_target_row": f"WITH {JUDGED} SELECT {VERDICTS} FROM summed WHERE doc_id <= (SELECT min(doc_id) FROM summed WHERE so_far >= 2000)",
+        "accept_until_target_exact": f"WITH {JUDGED} SELECT {VERDICTS} FROM summed WHERE (SELECT max(so_far) FROM summed) < 2000 OR (doc_id, pos) <= (SELECT (doc_id, pos) FROM summed WHERE so_far = 2000 AND verdict = 'accepted')",
+        "accept_until_target_row": f"WITH {JUDGED} SELECT {VERDICTS} FROM summed WHERE doc_id <= coalesce((SELECT min(doc_id) FROM summed WHERE so_far >= 2000), 9223372036854775807)",
         "document_build": f"""WITH t AS (SELECT doc_id, {normalized("text")} AS t FROM documents), j AS (SELECT *, length(t) BETWEEN 40 AND 8000 AS q, t IN (SELECT t FROM t WHERE doc_id % 50 = 7) AS e FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY t, q AND NOT e ORDER BY doc_id) AS r FROM j)
 SELECT count(*) FILTER (WHERE q AND NOT e AND r = 1) AS accepted, count(*) FILTER (WHERE q AND (e OR r > 1)) AS duplicates_or_eval, count(*) FILTER (WHERE NOT q) AS invalid_length_or_type FROM r""",

@@ -15,7 +15,7 @@ from ..operators import ordering as O
 from ..operators import pieces as P
 from ..operators import reports as R
 from ..operators import tokens as K
-from ..tables import stash, table
+from ..tables import spread, stash, table
 
 #: The driver's documents have no Arabic.
 LINES = C.LATIN_LINES
@@ -23,7 +23,7 @@ FLAGS = ["quality", "eval", "duplicate", "accepted"]
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,6 +41,10 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
     return C.verdicts(lines(spark, sf), eval_lines(spark, sf), LINES, order=["doc_id", "pos"])
 
 
+def narrow(spark: SparkSession, sf: str) -> DataFrame:
+    return stash(judged(spark, sf).select("doc_id", "pos", "verdict"), "verdicts")
+
+
 def counted(df: DataFrame, names: list[str] = FLAGS) -> DataFrame:
     return df.agg(*[F.count_if(F.col("verdict") == n).alias(n) for n in names])
 
@@ -212,11 +216,11 @@ def verdict_counters_by_source(spark, sf):
 
 
 def accept_until_target_exact(spark, sf):
-    return counted(C.until(judged(spark, sf), 2000, order=["doc_id", "pos"]))
+    return counted(C.until(narrow(spark, sf), 2000, order=["doc_id", "pos"]))
 
 
 def accept_until_target_row(spark, sf):
-    return counted(C.until(judged(spark, sf), 2000, order=["doc_id", "pos"], document="doc_id"))
+    return counted(C.until(narrow(spark, sf), 2000, order=["doc_id", "pos"], document="doc_id"))
 
 
 def document_build(spark, sf):
@@ -252,11 +256,11 @@ def chunk_documents_cumulative(spark, sf):
 
 
 def byte_budget_sample(spark, sf):
-    return P.head_by_bytes(lines(spark, sf), 200_000, ["doc_id", "pos"]).agg(F.count("*").alias("n"), F.sum(P.line_bytes(F.col("line"))).alias("bytes"))
+    return P.head_by_bytes(lines(spark, sf).select("doc_id", "pos", "line"), 200_000, ["doc_id", "pos"]).agg(F.count("*").alias("n"), F.sum(P.line_bytes(F.col("line"))).alias("bytes"))
 
 
 def tail_lines(spark, sf):
-    return P.tail_by_bytes(lines(spark, sf), 50_000, 40, ["doc_id", "pos"]).select("doc_id", F.col("pos").cast("long").alias("pos"))
+    return P.tail_by_bytes(lines(spark, sf).select("doc_id", "pos", "line"), 50_000, 40, ["doc_id", "pos"]).select("doc_id", F.col("pos").cast("long").alias("pos"))
 
 
 def proportional_sample(spark, sf):
@@ -345,7 +349,7 @@ def token_stream(spark, sf):
     import public_tokenizers
 
     stream = stash(K.token_stream(docs(spark, sf).select("doc_id", "text"), "text", public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"]), "stream")
-    return P.split_in_order(stream, 0.95, ["pos"]).groupBy("split").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"), F.sum("token_id").alias("ids"))
+    return P.split_stream(stream, 0.95).groupBy("split").agg(F.count("*").alias("n"), F.max("pos").alias("last_pos"), F.sum("token_id").alias("ids"))
 
 
 # ---- gates, on rows given here
@@ -447,7 +451,7 @@ def incremental_dedup(spark, sf):
     return spark.read.parquet(out).agg(F.count("*").alias("n"), F.sum(F.char_length("line").cast("long")).alias("chars"))
 
 
-_HELPERS = {"docs", "lines", "eval_lines", "judged", "counted", "long", "registry", "taxonomy", "records", "table", "stash", "parameters", "queries"}
+_HELPERS = {"docs", "lines", "eval_lines", "judged", "narrow", "counted", "long", "registry", "taxonomy", "records", "table", "stash", "spread", "parameters", "queries"}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -46,7 +46,7 @@ def text_lines(spark: SparkSession, *paths: str, blank: bool = False, recursive:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """src_file, line_no (from 1) and value of files that each fit a cell; for small ones, where numbers matter more than size."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("src_file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("src_file"), "value")
     return whole.select("src_file", F.posexplode(X.lines(F.col("value"))).alias("at", "value")).select("src_file", (F.col("at") + 1).cast("long").alias("line_no"), "value")
 
 

@@ -2,16 +2,41 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Gives executors this package, once for each context: their Python workers import it wherever the driver was started."""
+    context = spark.sparkContext
+    if not getattr(context, "_corpusmill_shipped", False):
+        top = Path(__file__).resolve().parent
+        if top.is_dir():
+            target = os.path.join(tempfile.mkdtemp(prefix="corpusmill-"), "corpusmill.zip")
+            with zipfile.ZipFile(target, "w") as z:
+                for f in sorted(top.rglob("*.py")):
+                    z.write(f, f.relative_to(top.parent))
+            context.addPyFile(target)
+        context._corpusmill_shipped = True
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if its files give fewer: a small file of one row group would keep one core busy. Larger inputs aren't exchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a local session that has none gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
