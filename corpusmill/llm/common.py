@@ -1,9 +1,7 @@
-"""What the operators of this subpackage share: the shared folder, tables that cut lineage, and maps over texts in Arrow batches."""
+"""What the operators of this subpackage share: maps over texts in Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,53 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import fresh_path, ship, spread, stash
+from ..tables import table as read_table
+
+__all__ = ["SLICE_BYTES", "TEXT", "explode_texts", "fresh_path", "map_texts", "raw", "settle", "slices", "stash", "table"]
 TEXT = "__text"
 #: Texts are handled in slices of at most so many bytes (one longer text is a slice of its own).
 SLICE_BYTES = 2 << 20
 
 
 def settle(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches by bytes as well as by rows, so that long texts can't fill a Python worker."""
+    """Bounds the Arrow batches by bytes as well as by rows, so that long texts can't fill a Python worker, and gives workers this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session without it gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/corpusmill/{label}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again: lineage ends there, and a lost executor costs nothing that was computed before."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table made by stash()."""
-    spark = df.sparkSession
-    top = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
-    for path in top:
-        if "/corpusmill/" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read_table(spark, sf_dir, name))
 
 
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

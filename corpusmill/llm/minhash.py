@@ -26,7 +26,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: What a pivot leaves open is estimated again with so many slots before texts are compared.
 LONG_SLOTS = 1_024
 #: Entries of a bucket that meet others in one group.
-BLOCK = 1_024
+BLOCK = 256
 _LOW = np.uint64((1 << 54) - 1)
 FIELDS = [T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())]
 

@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: list[st
     Returns keep (all columns but the text if not given), piece (from 0), start, length, ids_crc32, and ids if asked for. A null text is
     an empty one: one piece of one id. Repeated rows are packed each.
     """
-    names = {f.name for f in [*PIECE, IDS]}
+    names = {f.name for f in [*PIECE, IDS]} | {"sequence_id", "offset"}
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names and (keep is not None or c != text)]
 
     def make():
