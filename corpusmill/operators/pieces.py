@@ -92,12 +92,12 @@ def in_shards(rows: DataFrame, size: int, order: list[str]) -> DataFrame:
 def windows(tokens: DataFrame, length: int, count: int, seed: int = 0) -> DataFrame:
     """count training windows of a token stream (pos from 0 without gaps, token_id): window, x (length ids) and y (the same, one further).
 
-    Starts are drawn by hashing the window's number, so a window is the same however often it is made. Only the tokens of windows are exchanged.
+    A window's start follows from its number and the seed by a multiplicative hash, so it is the same however often it is made. Only the tokens of windows are exchanged.
     """
     n = tokens.count()
     if n < length + 1:
         return tokens.sparkSession.createDataFrame([], "window bigint, x array<bigint>, y array<bigint>")
-    starts = tokens.sparkSession.range(count).select(F.col("id").alias("window"), F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(n - length)).alias("start"))
+    starts = tokens.sparkSession.range(count).select(F.col("id").alias("window"), ((F.col("id") * 2_654_435_761 + seed * 40_503 + 12_345) % (n - length)).alias("start"))
     wanted = starts.select("window", "start", F.explode(F.sequence("start", F.col("start") + length)).alias("pos"))
     got = wanted.join(tokens.select(F.col("pos").cast("long"), F.col("token_id").cast("long")), "pos")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda t: t["token_id"])

@@ -66,6 +66,16 @@ VERDICTS = ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in
 BYTES = "(strlen(line) + 1)"
 
 
+def chunked(t: str, limit: int, cumulative: bool = False) -> str:
+    """A text's chunks, as a fold over its sentences."""
+    lines = f"list_filter(list_transform(string_split(regexp_replace({t}, '\\r\\n?', chr(10), 'g'), chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
+    parts = f"flatten(list_transform({lines}, lambda l: list_filter(list_transform(string_split(l, '. '), lambda p, i: CASE WHEN {strip('p')} <> '' AND i < len(string_split(l, '. ')) THEN {strip('p')} || '.' ELSE {strip('p')} END), lambda p: p <> '')))"
+    states = f"list_transform({parts}, lambda p: {{'opened': p, 'size': length(p), 'done': []::VARCHAR[]}})"
+    grown = "length(a.opened || ' ' || b.opened)" + (" + a.size" if cumulative else "")
+    fold = f"list_reduce({states}, lambda a, b: CASE WHEN a.size + length(b.opened) + 1 > {limit} THEN {{'opened': b.opened, 'size': b.size, 'done': list_append(a.done, a.opened)}} ELSE {{'opened': a.opened || ' ' || b.opened, 'size': {grown}, 'done': a.done}} END)"
+    return f"CASE WHEN len({parts}) = 0 THEN []::VARCHAR[] ELSE list_filter(list_append(({fold}).done, ({fold}).opened), lambda c: length(c) BETWEEN 40 AND {limit}) END"
+
+
 def ranks(table: str, by: str, length: str) -> str:
     """p50 and p90 of each group by rank."""
     return f"""(SELECT {by}, max({length}) FILTER (WHERE rn = floor(n / 2.0)) AS p50, max({length}) FILTER (WHERE rn = floor(n * 0.9)) AS p90
@@ -185,6 +195,15 @@ SELECT r.reason, count(u.doc_id) AS n, arg_min(u.head, u.doc_id) AS example FROM
 r AS (SELECT *, row_number() OVER (PARTITION BY t, q AND NOT e ORDER BY doc_id) AS r FROM j)
 SELECT count(*) FILTER (WHERE q AND NOT e AND r = 1) AS accepted, count(*) FILTER (WHERE q AND (e OR r > 1)) AS duplicates_or_eval, count(*) FILTER (WHERE NOT q) AS invalid_length_or_type FROM r""",
         "first_of_category": "(SELECT doc_id, lang FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 25) UNION ALL (SELECT doc_id, lang FROM documents WHERE lang = 'es' ORDER BY doc_id LIMIT 25)",
+        "chunk_documents": f"WITH c AS (SELECT doc_id, {chunked('text', 1000)} AS cs FROM documents) SELECT doc_id, pos::BIGINT AS pos, length(chunk)::BIGINT AS n, sha256(chunk) AS sha FROM (SELECT doc_id, generate_subscripts(cs, 1) - 1 AS pos, unnest(cs) AS chunk FROM c)",
+        "chunk_documents_cumulative": f"WITH c AS (SELECT doc_id, {chunked('text', 8000, True)} AS cs FROM documents) SELECT doc_id, pos::BIGINT AS pos, length(chunk)::BIGINT AS n FROM (SELECT doc_id, generate_subscripts(cs, 1) - 1 AS pos, unnest(cs) AS chunk FROM c)",
+        "heldout_build": f"""WITH t AS (SELECT doc_id, {normalized("text")} AS t FROM documents), c AS (SELECT doc_id, {chunked("t", 8000)} AS cs FROM t),
+p AS (SELECT doc_id, generate_subscripts(cs, 1) AS pos, unnest(cs) AS chunk FROM c), held AS (SELECT *, chunk IN (SELECT chunk FROM p WHERE doc_id % 10 <> 0) AS seen FROM p WHERE doc_id % 10 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY chunk, seen ORDER BY doc_id, pos) AS r FROM held)
+SELECT count(*) FILTER (WHERE NOT seen AND r = 1) AS accepted, count(*) FILTER (WHERE NOT seen AND r > 1) AS duplicate, count(*) FILTER (WHERE seen) AS train_overlap FROM r""",
+        "token_windows": """WITH s AS (SELECT w, (w * 2654435761 + 12345) % ((SELECT count(*) FROM documents) - 16) AS start FROM range(64) AS t(w)),
+d AS (SELECT w, doc_id - start AS k, n_chars FROM s JOIN documents ON doc_id BETWEEN start AND start + 16)
+SELECT w AS window, string_agg(n_chars::VARCHAR, ',' ORDER BY k) FILTER (WHERE k < 16) AS x, string_agg(n_chars::VARCHAR, ',' ORDER BY k) FILTER (WHERE k > 0) AS y FROM d GROUP BY w""",
         "byte_budget_sample": f"WITH {LINES} SELECT count(*) AS n, sum({BYTES})::BIGINT AS bytes FROM (SELECT *, sum({BYTES}) OVER (ORDER BY doc_id, pos) AS b FROM lines) WHERE b <= 200000",
         "tail_lines": f"WITH {LINES}, s AS (SELECT *, sum({BYTES}) OVER (ORDER BY doc_id, pos) AS b FROM lines) SELECT doc_id, pos::BIGINT AS pos FROM s WHERE b - {BYTES} > (SELECT max(b) FROM s) - 50000 ORDER BY doc_id, pos LIMIT 40",
         "proportional_sample": f"""WITH {LINES}, s AS (SELECT *, sum({BYTES}) OVER (PARTITION BY lang ORDER BY doc_id, pos) AS b, sum({BYTES}) OVER (PARTITION BY lang) AS size, sum({BYTES}) OVER () AS total FROM lines)
