@@ -16,13 +16,13 @@ from ..tables import table as read_table
 __all__ = ["SLICE_BYTES", "TEXT", "explode_texts", "fresh_path", "map_texts", "raw", "settle", "slices", "stash", "table"]
 TEXT = "__text"
 #: Texts are handled in slices of at most so many bytes (one longer text is a slice of its own).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def settle(spark: SparkSession) -> SparkSession:
     """Bounds the Arrow batches by bytes as well as by rows, so that long texts can't fill a Python worker, and gives workers this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return ship(spark)
 
 

@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXT, map_texts, raw, settle, stash
+from .common import TEXT, map_texts, raw, settle, slices, stash
 from .components import components, sized
 from .words import doc_of, mix, shingles, word_hashes
 
@@ -157,8 +158,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def compare(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                b = batch.slice(begin, 256)
+            for begin, end in slices(pc.binary_join_element_wise(batch.column(2), batch.column(3), "")):
+                b = batch.slice(begin, end - begin)
                 ea, ca, fa = weighted(b.column(2))
                 eb, cb, fb = weighted(b.column(3))
                 sims = [probability_jaccard(ea[fa[i] : fa[i + 1]], ca[fa[i] : fa[i + 1]], eb[fb[i] : fb[i + 1]], cb[fb[i] : fb[i + 1]]) for i in range(b.num_rows)]

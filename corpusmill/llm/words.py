@@ -50,17 +50,26 @@ def run_bounds(kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(some & change[:-1]), np.flatnonzero(some & change[1:]) + 1
 
 
+#: Bytes that are hashed at a time: what a very long text takes beside itself doesn't grow with it.
+_BLOCK = 4 << 20
+
+
 def _hashes(data: np.ndarray, kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begins, ends = run_bounds(kinds, at)
-    if not len(begins):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    power, unpower = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.multiply(data, power[: len(data)], out=sums[1:])
-    np.cumsum(sums[1:], out=sums[1:])
-    h = (sums[ends] - sums[begins]) * unpower[begins]
-    return mix(h + (ends - begins).astype(np.uint64)), np.searchsorted(begins, at)
+    out = np.empty(len(begins), np.uint64)
+    k = 0
+    while k < len(begins):
+        to = max(k + 1, int(np.searchsorted(ends, begins[k] + _BLOCK, "right")))
+        base = begins[k]
+        b, e = begins[k:to] - base, ends[k:to] - base
+        power, unpower = _power_tables(int(e[-1]) + 1)
+        sums = np.empty(int(e[-1]) + 1, np.uint64)
+        sums[0] = 0
+        np.multiply(data[base : base + e[-1]], power[: e[-1]], out=sums[1:])
+        np.cumsum(sums[1:], out=sums[1:])
+        out[k:to] = mix((sums[e] - sums[b]) * unpower[b] + (e - b).astype(np.uint64))
+        k = to
+    return out, np.searchsorted(begins, at)
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
