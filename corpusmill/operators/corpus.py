@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .ordering import running
+from ..tables import stash
+from .ordering import mark_first, running
 
 
 @dataclass(frozen=True)
@@ -74,15 +75,14 @@ def verdicts(lines: DataFrame, blocked: DataFrame | None, profile: Profile, *, o
     rule = passes(profile, F.col("raw") if profile.on_raw else F.col("line"))
     judged = lines.select("*", rule.alias("__q"), X.digest(F.col("line")).alias("digest"))
     if blocked is not None:
-        known = blocked.select("digest").distinct().withColumn("__hit", F.lit(True))
+        known = stash(blocked.select("digest").distinct().withColumn("__hit", F.lit(True)), "blocked")
         judged = judged.join(known, "digest", "left").withColumn("__e", F.coalesce("__hit", F.lit(False))).drop("__hit")
     else:
         judged = judged.withColumn("__e", F.lit(False))
     eligible = F.col("__q") & ~F.col("__e")
-    first = Window.partitionBy("digest", "__el").orderBy(*order)
-    ranked = judged.withColumn("__el", eligible).withColumn("__rank", F.row_number().over(first))
-    verdict = F.when(~F.col("__q"), "quality").when(F.col("__e"), name).when(F.col("__rank") > 1, "duplicate").otherwise("accepted")
-    return ranked.withColumn("verdict", verdict).drop("__q", "__e", "__el", "__rank")
+    ranked = mark_first(judged.withColumn("__el", eligible), ["digest", "__el"], order, "__new")
+    verdict = F.when(~F.col("__q"), "quality").when(F.col("__e"), name).when(~F.col("__new"), "duplicate").otherwise("accepted")
+    return ranked.withColumn("verdict", verdict).drop("__q", "__e", "__el", "__new")
 
 
 def digests(lines: DataFrame, column: str = "line") -> DataFrame:
@@ -97,14 +97,13 @@ def first_of_each(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
 
 
 def not_in(df: DataFrame, known: DataFrame, on: str) -> DataFrame:
-    """Anti join; Spark broadcasts the known side only if it is small."""
-    return df.join(known.select(on).distinct(), on, "left_anti")
+    """Anti join. The known side is written first: Spark then broadcasts it only if it is small, and can split a common key otherwise."""
+    return df.join(stash(known.select(on).distinct(), "known"), on, "left_anti")
 
 
 def repeated(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Rows after the first of each key that isn't null."""
-    by = Window.partitionBy(key).orderBy(*order)
-    return df.where(F.col(key).isNotNull()).withColumn("__rank", F.row_number().over(by)).where("__rank > 1").drop("__rank")
+    return mark_first(df.where(F.col(key).isNotNull()), [key], order, "__new").where("NOT __new").drop("__new")
 
 
 def counters(judged: DataFrame, *by: str) -> DataFrame:

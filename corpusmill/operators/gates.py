@@ -18,6 +18,42 @@ REQUIRED_OF_RECORDS = ["record_id", "domain", "subdomain", "language", "source_i
 INTENDED_USE = "pipeline_validation_only"
 
 
+#: What the gates say, with places for what they found.
+MESSAGES = {
+    "missing": "missing required field '{}'",
+    "source again": "duplicate source_id",
+    "status": "invalid status '{}'",
+    "conditional": "approved with conditional license '{}'",
+    "forbidden": "approved with forbidden license '{}'",
+    "unapproved": "approved with unapproved license '{}'",
+    "unverified": "approved with unverified provenance '{}'",
+    "never": "forbidden license '{}' must not be approved",
+    "no domains": "'domains' must be a non-empty list",
+    "no domain id": "domain without id",
+    "domain again": "duplicate domain id",
+    "weight": "weight must be a positive number",
+    "no subdomains": "subdomains must be a non-empty list",
+    "no subdomain id": "subdomain without id",
+    "subdomain again": "duplicate subdomain id",
+    "no languages": "languages must be a non-empty list",
+    "undeclared": "language '{}' not declared in taxonomy languages",
+    "weights": "domain weights sum to {}, expected ~1.0",
+    "pilot": "records without 'pilot': true are refused",
+    "use": "intended_use must be '{}'",
+    "record again": "duplicate record_id",
+    "no digest": "text_sha256 is not a 64-char lowercase hex digest",
+    "digest again": "duplicate text_sha256 (exact dedup violation)",
+    "place": "unknown domain/subdomain '{}/{}'",
+    "language": "language '{}' not allowed for '{}/{}'",
+    "source": "source_id '{}' not found in source registry",
+    "license": "license '{}' does not match registry license '{}' for source '{}'",
+    "provenance": "unverified provenance '{}'",
+    "text": "text does not hash to text_sha256",
+    "positive": "text_chars must be a positive integer",
+    "length": "text_chars ({}) != len(text) ({})",
+}
+
+
 def license_allowed(license: Column) -> Column:
     return F.coalesce(X.strip(license).isin(LICENSES), F.lit(False))
 
@@ -26,10 +62,16 @@ def license_forbidden(license: Column) -> Column:
     return F.coalesce(X.any_of(F.translate(F.upper(license), "_", "-"), FORBIDDEN), F.lit(False))
 
 
-def said(*parts: Column | str) -> Column:
+def joined(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
+def say(key: str, *found: Column | str) -> Column:
+    """The gate's message with what was found in its places; null shows as nothing."""
+    texts = MESSAGES[key].split("{}")
+    return joined(*[x for pair in zip(texts, found) for x in pair], texts[-1])
+
+
 def problems(rows: DataFrame, label: Column, rules: list[tuple[Column, Column]]) -> DataFrame:
     """A row for each rule (condition, what to say) that a row breaks."""
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), what) for c, what in rules]), lambda x: x.isNotNull())
@@ -39,7 +81,7 @@ def problems(rows: DataFrame, label: Column, rules: list[tuple[Column, Column]])
 def missing(rows: DataFrame, keys: list[str]) -> list[tuple[Column, Column]]:
     """A key that a table lacks is missing in every row."""
     gone = lambda k: (F.col(k).isNull() | (F.col(k).cast("string") == "")) if k in rows.columns else F.lit(True)
-    return [(gone(k), F.lit(f"missing required field '{k}'")) for k in keys]
+    return [(gone(k), say("missing", k)) for k in keys]
 
 
 def not_first(key: str, order: list[str]) -> Column:
@@ -48,7 +90,7 @@ def not_first(key: str, order: list[str]) -> Column:
 
 
 def label_of(key: str, number: str) -> Column:
-    return F.coalesce(F.nullif(F.col(key), F.lit("")), said("record#", F.col(number)))
+    return F.coalesce(F.nullif(F.col(key), F.lit("")), joined("record#", F.col(number)))
 
 
 def registry_gate(registry: DataFrame, number: str = "line_no") -> DataFrame:
@@ -58,13 +100,13 @@ def registry_gate(registry: DataFrame, number: str = "line_no") -> DataFrame:
     approved, free, conditional, forbidden = F.col("status") == "approved", license_allowed(license), X.strip(license).isin(CONDITIONAL), license_forbidden(license)
     rules = [
         *missing(registry, REQUIRED),
-        (F.col("__again"), F.lit("duplicate source_id")),
-        (F.col("status").isNotNull() & ~F.col("status").isin(STATUSES), said("invalid status '", F.col("status"), "'")),
-        (approved & ~free & conditional, said("approved with conditional license '", license, "'")),
-        (approved & ~free & ~conditional & forbidden, said("approved with forbidden license '", license, "'")),
-        (approved & ~free & ~conditional & ~forbidden, said("approved with unapproved license '", license, "'")),
-        (approved & F.upper(provenance).isin(UNVERIFIED), said("approved with unverified provenance '", provenance, "'")),
-        (approved & forbidden, said("forbidden license '", license, "' must not be approved")),
+        (F.col("__again"), say("source again")),
+        (F.col("status").isNotNull() & ~F.col("status").isin(STATUSES), say("status", F.col("status"))),
+        (approved & ~free & conditional, say("conditional", license)),
+        (approved & ~free & ~conditional & forbidden, say("forbidden", license)),
+        (approved & ~free & ~conditional & ~forbidden, say("unapproved", license)),
+        (approved & F.upper(provenance).isin(UNVERIFIED), say("unverified", provenance)),
+        (approved & forbidden, say("never", license)),
     ]
     return problems(rows, label_of("source_id", number), rules)
 
@@ -90,17 +132,17 @@ def subdomains(taxonomy: DataFrame) -> DataFrame:
 def taxonomy_gate(taxonomy: DataFrame) -> DataFrame:
     """Problems of a mix taxonomy (one row: languages as a map, domains as an array)."""
     languages = F.map_keys("languages")
-    empty = taxonomy.where(F.coalesce(F.size("domains"), F.lit(-1)) <= 0).select(F.lit("taxonomy").alias("label"), F.lit("'domains' must be a non-empty list").alias("problem"))
+    empty = taxonomy.where(F.coalesce(F.size("domains"), F.lit(-1)) <= 0).select(F.lit("taxonomy").alias("label"), say("no domains").alias("problem"))
     domains = taxonomy.select(F.posexplode("domains").alias("d_at", "d")).select("d_at", F.col("d.id").alias("domain"), F.col("d.weight").alias("weight"), F.col("d.subdomains").alias("subdomains"))
     named = F.col("domain").isNotNull() & (F.col("domain") != "")
     of_domains = problems(
         domains.withColumn("__again", not_first("domain", ["d_at"])),
         F.coalesce(F.nullif(F.col("domain"), F.lit("")), F.lit("taxonomy")),
         [
-            (~named | F.col("domain").isNull(), F.lit("domain without id")),
-            (F.col("__again"), F.lit("duplicate domain id")),
-            (named & (F.col("weight").isNull() | (F.col("weight") <= 0)), F.lit("weight must be a positive number")),
-            (named & (F.coalesce(F.size("subdomains"), F.lit(-1)) <= 0), F.lit("subdomains must be a non-empty list")),
+            (~named | F.col("domain").isNull(), say("no domain id")),
+            (F.col("__again"), say("domain again")),
+            (named & (F.col("weight").isNull() | (F.col("weight") <= 0)), say("weight")),
+            (named & (F.coalesce(F.size("subdomains"), F.lit(-1)) <= 0), say("no subdomains")),
         ],
     )
     subs = taxonomy.select(languages.alias("declared"), "domains").select("declared", F.posexplode("domains").alias("d_at", "d")).where("d.id <> ''").select("declared", "d_at", F.col("d.id").alias("domain"), F.posexplode("d.subdomains").alias("s_at", "s"))
@@ -108,18 +150,18 @@ def taxonomy_gate(taxonomy: DataFrame) -> DataFrame:
     sub_named = F.coalesce(F.col("subdomain") != "", F.lit(False))
     of_subs = problems(
         subs.withColumn("__again", not_first("subdomain", ["d_at", "s_at"])),
-        F.when(sub_named, said(F.col("domain"), "/", F.col("subdomain"))).otherwise(F.col("domain")),
+        F.when(sub_named, joined(F.col("domain"), "/", F.col("subdomain"))).otherwise(F.col("domain")),
         [
-            (~sub_named, F.lit("subdomain without id")),
-            (F.col("__again"), F.lit("duplicate subdomain id")),
-            (sub_named & (F.coalesce(F.size("languages"), F.lit(-1)) <= 0), F.lit("languages must be a non-empty list")),
+            (~sub_named, say("no subdomain id")),
+            (F.col("__again"), say("subdomain again")),
+            (sub_named & (F.coalesce(F.size("languages"), F.lit(-1)) <= 0), say("no languages")),
         ],
     )
-    undeclared = subs.where(sub_named).select(said(F.col("domain"), "/", F.col("subdomain")).alias("label"), F.explode(F.array_except("languages", "declared")).alias("l"))
-    undeclared = undeclared.select("label", said("language '", F.col("l"), "' not declared in taxonomy languages").alias("problem"))
+    undeclared = subs.where(sub_named).select(joined(F.col("domain"), "/", F.col("subdomain")).alias("label"), F.explode(F.array_except("languages", "declared")).alias("l"))
+    undeclared = undeclared.select("label", say("undeclared", F.col("l")).alias("problem"))
     found = empty.unionByName(of_domains).unionByName(of_subs).unionByName(undeclared)
     # the sum is only looked at if all else is well
-    off = domains.agg(F.sum("weight").alias("w")).where(F.abs(F.col("w") - 1) > 0.01).select(F.lit("taxonomy").alias("label"), said("domain weights sum to ", F.format_number("w", 4), ", expected ~1.0").alias("problem"), F.lit(1).alias("one"))
+    off = domains.agg(F.sum("weight").alias("w")).where(F.abs(F.col("w") - 1) > 0.01).select(F.lit("taxonomy").alias("label"), say("weights", F.format_number("w", 4)).alias("problem"), F.lit(1).alias("one"))
     any_other = found.select(F.lit(1).alias("one")).distinct()
     return found.unionByName(off.join(any_other, "one", "left_anti").drop("one"))
 
@@ -140,19 +182,19 @@ def record_gate(records: DataFrame, taxonomy: DataFrame, registry: DataFrame, nu
     placed = given("domain") & given("subdomain")
     rules = [
         *missing(records, REQUIRED_OF_RECORDS),
-        (~F.coalesce(F.col("pilot"), F.lit(False)), F.lit("records without 'pilot': true are refused")),
-        (~F.coalesce(F.col("intended_use") == INTENDED_USE, F.lit(False)), F.lit(f"intended_use must be '{INTENDED_USE}'")),
-        (F.col("__id_again"), F.lit("duplicate record_id")),
-        (F.col("text_sha256").isNotNull() & ~hex_ok, F.lit("text_sha256 is not a 64-char lowercase hex digest")),
-        (F.col("__sha_again"), F.lit("duplicate text_sha256 (exact dedup violation)")),
-        (placed & F.col("__languages").isNull(), said("unknown domain/subdomain '", F.col("domain"), "/", F.col("subdomain"), "'")),
-        (placed & F.col("__languages").isNotNull() & given("language") & ~F.array_contains("__languages", F.col("language")), said("language '", F.col("language"), "' not allowed for '", F.col("domain"), "/", F.col("subdomain"), "'")),
-        (F.col("source_id").isNotNull() & ~known, said("source_id '", F.col("source_id"), "' not found in source registry")),
-        (known & given("license") & (F.col("license") != F.coalesce("__license", F.lit(""))), said("license '", F.col("license"), "' does not match registry license '", F.col("__license"), "' for source '", F.col("source_id"), "'")),
-        (known & F.upper(X.strip(F.coalesce("provenance", F.lit("")))).isin(UNVERIFIED), said("unverified provenance '", F.col("provenance"), "'")),
-        (text.isNotNull() & (F.char_length("text_sha256") == 64) & (X.fingerprint(text) != F.col("text_sha256")), F.lit("text does not hash to text_sha256")),
-        (chars <= 0, F.lit("text_chars must be a positive integer")),
-        (text.isNotNull() & (F.char_length(text) != chars), said("text_chars (", chars, ") != len(text) (", F.char_length(text), ")")),
+        (~F.coalesce(F.col("pilot"), F.lit(False)), say("pilot")),
+        (~F.coalesce(F.col("intended_use") == INTENDED_USE, F.lit(False)), say("use", INTENDED_USE)),
+        (F.col("__id_again"), say("record again")),
+        (F.col("text_sha256").isNotNull() & ~hex_ok, say("no digest")),
+        (F.col("__sha_again"), say("digest again")),
+        (placed & F.col("__languages").isNull(), say("place", F.col("domain"), F.col("subdomain"))),
+        (placed & F.col("__languages").isNotNull() & given("language") & ~F.array_contains("__languages", F.col("language")), say("language", F.col("language"), F.col("domain"), F.col("subdomain"))),
+        (F.col("source_id").isNotNull() & ~known, say("source", F.col("source_id"))),
+        (known & given("license") & (F.col("license") != F.coalesce("__license", F.lit(""))), say("license", F.col("license"), F.col("__license"), F.col("source_id"))),
+        (known & F.upper(X.strip(F.coalesce("provenance", F.lit("")))).isin(UNVERIFIED), say("provenance", F.col("provenance"))),
+        (text.isNotNull() & (F.char_length("text_sha256") == 64) & (X.fingerprint(text) != F.col("text_sha256")), say("text")),
+        (chars <= 0, say("positive")),
+        (text.isNotNull() & (F.char_length(text) != chars), say("length", chars, F.char_length(text))),
     ]
     return problems(rows, label_of("record_id", number), rules)
 

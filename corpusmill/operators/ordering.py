@@ -30,3 +30,17 @@ def running(df: DataFrame, order: list[Column | str], totals: dict[str, Column])
 def numbered(df: DataFrame, order: list[Column | str], name: str = "ordinal") -> DataFrame:
     """df with the rank of each row, from 1."""
     return running(df, order, {name: F.lit(1).cast("long")})
+
+
+def mark_first(df: DataFrame, keys: list[str], order: list[Column | str], name: str) -> DataFrame:
+    """df with name: whether the row is the first of its keys in the order.
+
+    A key's rows are ranked in as many salted parts as there are shuffle partitions, and only the parts' firsts meet once more, so that a key that holds a
+    third of all rows is no task of its own. Rows of equal keys and order are ranked arbitrarily.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    window = Window.partitionBy(*keys, "__salt").orderBy(*by)
+    inside = df.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(parts))).withColumn("__first", F.row_number().over(window) == 1)
+    across = inside.withColumn("__salt", F.when(F.col("__first"), F.lit(-1).cast("long")).otherwise(F.col("__salt")))
+    return across.withColumn(name, F.col("__first") & (F.row_number().over(window) == 1)).drop("__salt", "__first")

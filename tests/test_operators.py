@@ -149,3 +149,14 @@ def test_clean_record(spark):
     rec = Q.records(spark).where("line_no = 1")
     assert G.record_gate(rec, Q.taxonomy(spark), Q.registry(spark)).count() == 0
     assert G.status(G.record_gate(rec, Q.taxonomy(spark), Q.registry(spark))).first().status == "PASS"
+
+
+def test_first_of_a_common_key(spark):
+    rows = [(k, 0 if k % 3 else k % 7, k % 5) for k in range(600)]
+    df = spark.createDataFrame(rows, "k long, key int, o int")
+    got = {r.k for r in O.mark_first(df, ["key"], ["o", "k"], "new").where("new").collect()}
+    expected = {}
+    for k, key, o in rows:
+        expected[key] = min(expected.get(key, (o, k)), (o, k))
+    assert got == {k for _, k in expected.values()}
+    assert O.mark_first(df.where("false"), ["key"], ["o"], "new").count() == 0
