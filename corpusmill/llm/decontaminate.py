@@ -21,6 +21,8 @@ from .words import word_hashes
 
 #: Bytes of benchmark text that one broadcast may hold; a larger benchmark is cut into several, used one after another.
 BLOCK_BYTES = 16 << 20
+#: Occurrences in a shard that are joined at a time.
+MOST_HITS = 2_000_000
 _SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("item", T.StringType())]))
 FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("matches", _SPANS)]
 
@@ -108,11 +110,28 @@ def benchmark_suffixes(items: list[str], window: int) -> tuple[np.ndarray, np.nd
     return np.array(rows, np.uint64).reshape(-1, window), np.array(ns, np.int64), np.array(owner, np.int64), np.array(place, np.int64)
 
 
-def matcher(ids: list, items: list[str], window: int):
-    """A function from an Arrow array of texts to their word counts and maximal verbatim matches."""
+def matcher(ids: list, items: list[str], window: int, most: int = MOST_HITS):
+    """A function from an Arrow array of texts to their word counts and maximal verbatim matches. Only so many occurrences are held at a time: in
+    texts of one repeated word a match may come in parts, which cover the same words."""
     queries, n, owner, place = benchmark_suffixes(items, window)
     names = np.array([None if x is None else str(x) for x in ids], object)
 
+    def join(shard: Shard, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, found: list[list]) -> None:
+        """Adds all occurrences of these suffixes to found; those that follow one another on a diagonal of item and text are one match."""
+        size = hi - lo
+        hit = shard.order[np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
+        row, doc = np.repeat(rows, size), shard.doc[hit]
+        begin = hit - doc - shard.first[doc]
+        o = np.lexsort((begin, begin - place[row], owner[row], doc))
+        doc, begin, row = doc[o], begin[o], row[o]
+        item, diagonal = owner[row], begin - place[row]
+        new = np.ones(len(o), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (begin[1:] != begin[:-1] + 1)
+        starts = np.flatnonzero(new)
+        last = np.append(starts[1:], len(o)) - 1
+        for d, b, e, k in zip(doc[starts].tolist(), begin[starts].tolist(), (begin[last] + n[row[last]]).tolist(), item[starts].tolist(), strict=True):
+            found[d].append({"begin": b, "end": e, "item": names[k]})
+
     def search(texts: pa.Array) -> list:
         data, at = raw(texts)
         words, first = word_hashes(data, at)
@@ -123,22 +142,11 @@ def matcher(ids: list, items: list[str], window: int):
             rows, lo, hi = shard.find(queries, n)
             some = hi > lo
             rows, lo, hi = rows[some], lo[some], hi[some]
-            if len(rows):
-                size = hi - lo
-                hit = shard.order[np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())]
-                row = np.repeat(rows, size)
-                # windows that follow one another on a diagonal of item and text are one match
-                doc = shard.doc[hit]
-                begin = hit - doc - first[doc]
-                o = np.lexsort((begin, begin - place[row], owner[row], doc))
-                doc, begin, row = doc[o], begin[o], row[o]
-                diagonal = begin - place[row]
-                new = np.ones(len(o), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (owner[row][1:] != owner[row][:-1]) | (diagonal[1:] != diagonal[:-1]) | (begin[1:] != begin[:-1] + 1)
-                starts = np.flatnonzero(new)
-                last = np.append(starts[1:], len(o)) - 1
-                for d, b, e, k in zip(doc[starts].tolist(), begin[starts].tolist(), (begin[last] + n[row[last]]).tolist(), owner[row[starts]].tolist(), strict=True):
-                    found[d].append({"begin": b, "end": e, "item": names[k]})
+            up_to, begin = np.cumsum(hi - lo), 0
+            while begin < len(rows):
+                end = max(begin + 1, int(np.searchsorted(up_to, (up_to[begin - 1] if begin else 0) + most, "right")))
+                join(shard, rows[begin:end], lo[begin:end], hi[begin:end], found)
+                begin = end
         return [counts, found]
 
     return search

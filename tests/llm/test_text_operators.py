@@ -160,6 +160,15 @@ def test_longest_match(spark):
     assert D.items_digest(["10", "9"]) == hashlib.sha256(b"10,9").hexdigest()
 
 
+@pytest.mark.parametrize("most", [1, 500, D.MOST_HITS])
+def test_repeated_words_in_parts(most):
+    texts = ["la " * 400, "x la la y", "", "la " * 9]
+    n, found = D.matcher([1, 2], ["la " * 60, "la la y"], 8, most)(pa.array(texts, pa.large_string()))
+    for text, count, matches in zip(texts, n, found, strict=True):
+        covered = {k for m in matches for k in range(m["begin"], m["end"])}
+        assert (count, len(covered), {m["item"] for m in matches}) == plain_matches(text, [(1, "la " * 60), (2, "la la y")], 8)
+
+
 def test_empty_tables(spark):
     docs, bench = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.find_matches(docs, bench).count() == 0
