@@ -76,6 +76,12 @@ def arabic_marks(spark, sf):
     return docs(spark, sf).select("doc_id", X.without_tatweel(t).alias("no_tatweel"), X.without_diacritics(t).alias("no_diacritics"), X.script_ratio(t, "arabic").alias("ratio"), X.language(t).alias("lang_id"))
 
 
+def arabic_marks_whole(spark, sf):
+    """As arabic_marks, whose SQL cuts texts to 20 characters, over whole texts."""
+    t = F.concat(F.lit("مُحــمَّد "), F.col("text"))
+    return docs(spark, sf).select("doc_id", X.without_tatweel(t).alias("no_tatweel"), X.without_diacritics(t).alias("no_diacritics"), X.script_ratio(t, "arabic").alias("ratio"), X.language(t).alias("lang_id"))
+
+
 def split_lines_and_words(spark, sf):
     return docs(spark, sf).select("doc_id", long(F.size(F.filter(X.lines(F.col("text")), lambda x: x != ""))).alias("n_lines"), long(F.size(X.words(F.col("text")))).alias("n_words"), long(F.size(F.array_distinct(X.words(F.col("text"))))).alias("n_unique"))
 

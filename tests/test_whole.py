@@ -1,6 +1,7 @@
 """Queries over whole texts against brute force, on small fixtures whose texts are longer than any cut."""
 
 import re
+import unicodedata
 
 from corpusmill.plans import queries as Q
 
@@ -26,3 +27,16 @@ def test_whitespace_of_whole_texts(spark, tmp_path):
         assert (got[k].tidy, got[k].stripped, got[k].flat) == (plain_tidy(t), t.strip(), text.replace("\n", " "))
         assert got[k].odd == ("  " in text or "\t" in text or text.strip() != text)
     assert got[4].tidy is None
+
+
+def test_marks_of_whole_texts(spark, tmp_path):
+    texts = ["1234567890 " * 3 + "latin", "x" * 30 + " مُحــمَّد " + "y" * 500 + "ـًٰ", "١٢٣ ! " * 20, "", None]
+    got = {r.doc_id: r for r in Q.arabic_marks_whole(spark, documents(spark, tmp_path, texts)).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts[:-1]):
+        t = "مُحــمَّد " + text
+        arabic, letters = sum("\u0600" <= c <= "\u06ff" for c in t), sum(unicodedata.category(c)[0] == "L" or unicodedata.category(c) in ("Nl", "No") for c in t)
+        assert (got[k].no_tatweel, got[k].no_diacritics) == (t.replace("\u0640", ""), re.sub("[\u064b-\u0655\u0670]", "", t))
+        assert got[k].ratio == arabic / letters
+        assert got[k].lang_id == ("mixed" if re.search("[A-Za-z]", t) else "ar")
+    assert [got[k].lang_id for k in range(4)] == ["mixed", "mixed", "ar", "ar"] and got[4].no_tatweel is None
