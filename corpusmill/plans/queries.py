@@ -348,7 +348,7 @@ def worst_lines(spark, sf):
 
 
 def pretoken_counts(spark, sf):
-    return K.pretoken_counts(docs(spark, sf), "text").orderBy(F.desc("n"), "piece").limit(200)
+    return K.pretoken_counts(docs(spark, sf), "text")
 
 
 def tokenizer_metrics(spark, sf):

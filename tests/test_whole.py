@@ -2,6 +2,7 @@
 
 import re
 import unicodedata
+from collections import Counter
 
 from corpusmill.plans import queries as Q
 
@@ -40,3 +41,10 @@ def test_marks_of_whole_texts(spark, tmp_path):
         assert got[k].ratio == arabic / letters
         assert got[k].lang_id == ("mixed" if re.search("[A-Za-z]", t) else "ar")
     assert [got[k].lang_id for k in range(4)] == ["mixed", "mixed", "ar", "ar"] and got[4].no_tatweel is None
+
+
+def test_all_pieces_are_counted(spark, tmp_path):
+    texts = [" ".join(f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{k}" for k in range(700)), "it's  we'll\n\n x!? 12", "", None]
+    pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+    got = {r.piece: r.n for r in Q.pretoken_counts(spark, documents(spark, tmp_path, texts)).collect()}
+    assert got == Counter(x for t in texts if t for x in pieces.findall(t)) and len(got) > 700
