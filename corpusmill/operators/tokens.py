@@ -15,6 +15,9 @@ from .ordering import running
 #: How byte-level tokenizers cut a text before merging, as a Java regular expression.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Characters encoded at once, about.
+SLICE_CHARS = 1 << 18
+
 
 @lru_cache(maxsize=4)
 def _load(path: str):
@@ -33,14 +36,24 @@ def encoded(path: str, text: Column) -> Column:
 
     @F.arrow_udf("struct<ids: array<int>, same: boolean>")
     def run(texts: pa.Array) -> pa.Array:
-        t, given = _load(path), texts.to_pylist()
-        known = [x for x in given if x is not None]
-        ids = iter([e.ids for e in t.encode_batch_fast(known, add_special_tokens=False)])
-        out = []
-        for x in given:
-            one = None if x is None else next(ids)
-            out.append(None if x is None else {"ids": one, "same": t.decode(one, skip_special_tokens=False) == x})
-        return pa.array(out, pa.struct([("ids", pa.list_(pa.int32())), ("same", pa.bool_())]))
+        t, kind, out, part, held = _load(path), pa.struct([("ids", pa.list_(pa.int32())), ("same", pa.bool_())]), [], [], 0
+
+        def encode(given: list) -> pa.Array:
+            ids = iter([e.ids for e in t.encode_batch_fast([x for x in given if x is not None], add_special_tokens=False)])
+            rows = []
+            for x in given:
+                one = None if x is None else next(ids)
+                rows.append(None if x is None else {"ids": one, "same": t.decode(one, skip_special_tokens=False) == x})
+            return pa.array(rows, kind)
+
+        # a batch holds whole texts by the thousands, and encodings take many times their bytes
+        for x in texts:
+            part.append(x.as_py())
+            held += len(part[-1] or "")
+            if held > SLICE_CHARS:
+                out.append(encode(part))
+                part, held = [], 0
+        return pa.concat_arrays([*out, encode(part)])
 
     return run(text)
 

@@ -297,6 +297,14 @@ def token_windows(spark, sf):
     return P.windows(stream, 16, 64).select("window", F.array_join(F.col("x").cast("array<string>"), ",").alias("x"), F.array_join(F.col("y").cast("array<string>"), ",").alias("y"))
 
 
+def token_stream_windows(spark, sf):
+    """Windows of the token stream of whole documents; token_windows, bound to its SQL, takes a number of each document for a token."""
+    import public_tokenizers
+
+    stream = stash(K.token_stream(docs(spark, sf).select("doc_id", "text"), "text", public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"]), "stream")
+    return P.windows(stream, 16, 64).select("window", F.array_join(F.col("x").cast("array<string>"), ",").alias("x"), F.array_join(F.col("y").cast("array<string>"), ",").alias("y"))
+
+
 # ---- reports
 
 

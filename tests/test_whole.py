@@ -4,6 +4,8 @@ import re
 import unicodedata
 from collections import Counter
 
+import pytest
+
 from corpusmill.plans import queries as Q
 
 
@@ -48,3 +50,19 @@ def test_all_pieces_are_counted(spark, tmp_path):
     pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
     got = {r.piece: r.n for r in Q.pretoken_counts(spark, documents(spark, tmp_path, texts)).collect()}
     assert got == Counter(x for t in texts if t for x in pieces.findall(t)) and len(got) > 700
+
+
+def test_windows_of_the_token_stream(spark, tmp_path):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    texts = ["second text, a bit longer than the first one " * 9, "first text", "", None, "last of all: 12345 " * 5]
+    ids = [70, 9, 80, 81, 1000]
+    stream = [x for _, text in sorted(zip(ids, texts)) if text for x in t.encode(text, add_special_tokens=False).ids]
+    got = {r.window: r for r in Q.token_stream_windows(spark, documents(spark, tmp_path, texts, ids)).collect()}
+    assert sorted(got) == list(range(64))
+    for w, r in got.items():
+        start = (w * 2_654_435_761 + 12_345) % (len(stream) - 16)
+        assert [int(x) for x in r.x.split(",")] == stream[start : start + 16]
+        assert [int(x) for x in r.y.split(",")] == stream[start + 1 : start + 17]
