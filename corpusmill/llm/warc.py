@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from .common import settle, stash
 
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
+_CUT = "gzip: the member doesn't end"
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
 RECORD = T.StructType(
     [
@@ -84,14 +85,14 @@ def write_warc(classified: DataFrame, path: str, *, urls: str | None = None, dat
     members.select(F.col("member").cast("string")).write.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
 
 
-def _parse(record: bytes, exact: bool) -> tuple[dict[str, str], bytes, int] | str:
-    """Headers, block and length of the record at the start of record, or what is wrong. exact: nothing may follow."""
-    if not (m := _VERSION.match(record)):
+def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
+    """Headers, block and length of the record that begins at a place of data, or what is wrong."""
+    if not (m := _VERSION.match(data, at)):
         return "no version line"
-    if (stop := record.find(b"\r\n\r\n", m.end() - 2)) < 0:
+    if (stop := data.find(b"\r\n\r\n", m.end() - 2)) < 0:
         return "headers don't end"
     headers = {}
-    for line in record[m.end() : stop].split(b"\r\n"):
+    for line in data[m.end() : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return "a header without a colon"
@@ -99,62 +100,97 @@ def _parse(record: bytes, exact: bool) -> tuple[dict[str, str], bytes, int] | st
     if not re.fullmatch(r"[0-9]{1,18}", n := headers.get("content-length", "")):
         return "no content length"
     begin, end = stop + 4, stop + 4 + int(n)
-    if record[end : end + 4] != b"\r\n\r\n" or exact and len(record) != end + 4:
+    if data[end : end + 4] != b"\r\n\r\n":
         return "the length doesn't fit"
-    block = record[begin:end]
+    block = data[begin:end]
     if (want := headers.get("warc-block-digest", "")).startswith("sha1:") and base64.b32encode(hashlib.sha1(block).digest()).decode() != want[5:]:
         return "the digest doesn't fit"
-    return headers, block, end + 4
+    return headers, block, end + 4 - at
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at a place of data inflates to, where it ends, and None; of a damaged one all that comes out before the damage shows, and what is wrong."""
+    z, out, k, step = zlib.decompressobj(31), [], at, 1 << 16
+    view = memoryview(data)
+    while k < len(data):
+        try:
+            out.append(z.decompress(view[k : k + step]))
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), k, f"gzip: {e}"
+            # the failed call kept what it had inflated: this piece once more, byte by byte
+            z = zlib.decompressobj(31)
+            for p in range(at, k, step):
+                z.decompress(view[p : p + step])
+            step = 1
+            continue
+        k = min(k + step, len(data))
+        if z.eof:
+            return b"".join(out), k - len(z.unused_data), None
+    return b"".join(out), len(data), _CUT
+
+
+def _reach(data: bytes, at: int, n: int) -> int:
+    """Where the bytes end that the first n (2 at least) inflated bytes of the member at a place of data come from."""
+    z, view, left = zlib.decompressobj(31), memoryview(data), n - 1
+    while left:
+        piece = view[at : at + (1 << 16)]
+        left -= len(z.decompress(piece, left))
+        at += len(piece) - len(z.unconsumed_tail)
+    # the last one by single bytes, since a call that reads on can meet the damage
+    if z.decompress(b"", 1):
+        return at
+    while not z.decompress(view[at : at + 1], 1):
+        at += 1
+    return at + 1
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
-    z, out = zlib.decompressobj(31), []
-    try:
-        view = memoryview(data)
-        for k in range(at, len(data), 1 << 16):
-            out.append(z.decompress(view[k : k + (1 << 16)]))
-            if z.eof:
-                return b"".join(out), min(k + (1 << 16), len(data)) - len(z.unused_data)
-    except zlib.error as e:
-        return f"gzip: {e}"
-    return "gzip: the member doesn't end"
+def _proven(row: tuple) -> bool:
+    return row[1] == "gap" or row[4].get("warc-block-digest", "").startswith("sha1:")
 
 
-def salvage(data: bytes) -> Iterator[tuple[int, str, int, str | None, dict | None, bytes | None]]:
+def salvage(data: bytes, inside: int = 0) -> Iterator[tuple[int, str, int, str | None, dict | None, bytes | None]]:
     """All intact records of an archive (gzip members or plain, even mixed) as (offset, "record", length, None, headers, block), and each run of
     bytes that no intact record has as (offset, "gap", length, reason, None, None), in order. After a failed check the search goes on one byte
-    farther, at the next member's magic or version line, so damage costs no record that is whole itself."""
+    farther, at the next member's magic or version line, so damage costs no record that is whole itself.
+
+    What a member inflates to is searched in the same way (inside: how many members deep, two at most), up to where damage shows. Its records, and gaps between
+    them, have the offset and length of the member, of a damaged one up to its last intact record. If a damaged member shows no bad
+    record, any of it may be changed: its records without a digest are no intact ones."""
     at, gap, reason = 0, None, None
     while at < len(data):
-        found = None
-        if data.startswith(b"\x1f\x8b", at):
-            got = _inflate(data, at)
-            if isinstance(got, str):
-                why = got
-            elif not got[0]:
-                found = (got[1], [])
+        rows, after = [], at + 1
+        if inside < 2 and data.startswith(b"\x1f\x8b", at):
+            member, end, why = _inflate(data, at)
+            rows = list(salvage(member, inside + 1))
+            if why and why != _CUT and all(r[1] == "record" for r in rows):
+                rows = [r if _proven(r) else (r[0], "gap", r[2], "no digest in a damaged member", None, None) for r in rows]
+            last = max((r[0] + r[2] for r in rows if r[1] == "record"), default=0)
+            if last or not (member or why):
+                end = _reach(data, at, last) if why else end
+                rows = [r for r in rows if not why or r[0] < last]
+                found = True
             else:
-                member, records, k = got[0], [], 0
-                while k < len(member) and not isinstance(one := _parse(member[k:] if k else member, False), str):
-                    records.append(one)
-                    k += one[2]
-                found, why = ((got[1], records), "") if k == len(member) else (None, one)
+                found, why = False, why or rows[0][3]
         else:
-            one = _parse(data[at:] if at else data, False) if _VERSION.match(data, at) else "no record begins here"
-            found, why = (None, one) if isinstance(one, str) else ((at + one[2], [one]), "")
+            one = _parse(data, at) if _VERSION.match(data, at) else "no record begins here"
+            found, why = (False, one) if isinstance(one, str) else (True, None)
+            if found:
+                rows, end = [(0, "record", one[2], None, one[0], one[1])], at + one[2]
         if found:
-            if gap is not None:
+            if gap is not None and gap < at:
                 yield gap, "gap", at - gap, reason, None, None
-                gap = None
-            for headers, block, _ in found[1]:
-                yield at, "record", found[0] - at, None, headers, block
-            at = found[0]
-            continue
+            for begin, kind, n, bad, headers, block in rows:
+                yield at, kind, end - at, bad and f"{bad}, {n} inflated bytes from {begin}", headers, block
+            at, gap = end, None
+            if not why:
+                continue
+            after = end
         if gap is None:
             gap, reason = at, why
-        nexts = [p for p in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/", at + 1)) if p >= 0]
+        nexts = [p for p in (data.find(b"\x1f\x8b\x08", after), data.find(b"WARC/", after)) if p >= 0]
         at = min(nexts, default=len(data))
-    if gap is not None:
+    if gap is not None and gap < len(data):
         yield gap, "gap", len(data) - gap, reason, None, None
 
 

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -296,6 +297,32 @@ def test_salvage_of_nothing_and_of_other_files():
     assert [x[1] for x in W.salvage(whole)] == ["record", "record"]
 
 
+def test_salvage_inside_damaged_members():
+    plain = [gzip.decompress(p) if p[:2] == b"\x1f\x8b" else p for p in records(8)]
+    ids = lambda found: [int(h["warc-record-id"][1:-1]) for *_, h, _ in found if h]
+    kinds = lambda found: [x[1] for x in found]
+    # one record of a sound member fails its digest, another has no version line
+    bad = [p.replace(b"body 3", b"BODY 3") if k == 3 else b"junk" + p[5:] if k == 5 else p for k, p in enumerate(plain)]
+    found = list(W.salvage(gzip.compress(b"".join(bad))))
+    assert ids(found) == [0, 1, 2, 4, 6, 7] and kinds(found).count("gap") == 2
+    for level in (0, 6):  # stored bytes show the same records twice: in the file and inflated
+        whole = gzip.compress(b"".join(plain), level, mtime=0)
+        # cut off at every place: what is whole comes out, once, and records and the gap behind them cover the file
+        for cut in range(20, len(whole), 23):
+            found = list(W.salvage(whole[:cut]))
+            shown = len(zlib.decompressobj(31).decompress(whole[:cut]))
+            assert ids(found) == [k for k in range(8) if sum(map(len, plain[: k + 1])) <= shown]
+            assert not ids(found) or {x[:3:2] for x in found if x[1] == "record"} == {(0, next((x[0] for x in found if x[1] == "gap" and x[0]), cut))}
+        # changed in the middle, and in the check sum; the next member stays
+        for at in (len(whole) // 2, len(whole) - 6):
+            found = list(W.salvage(whole[:at] + bytes([whole[at] ^ 255]) + whole[at + 1 :] + records(1)[0]))
+            got = ids(found)
+            assert got[-1] == 0 and got[:-1] == sorted(set(got[:-1])) and "gap" in kinds(found) and got[0] == 0 and len(got) > 1
+    # in a member whose check sum fails a record without a digest is not known to be intact
+    one = W.record_bytes([("WARC-Record-ID", "<1>")], b"text")
+    assert kinds(W.salvage(one)) == ["record"] and kinds(W.salvage(one[:-8] + b"sums" + one[-4:])) == ["gap"]
+
+
 # ---- queries and pipeline
 
 
