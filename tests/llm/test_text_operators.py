@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -46,6 +47,14 @@ def test_spliced_ids_are_the_whole_texts(tokenizer, chunk, overlap):
         assert chunked_ids(tokenizer, t, chunk, overlap) == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["x" * 1_000_000, " " * 1_000_000, "世" * 1_000_000, "x" * 200_000 + " a " + " " * 200_000 + "b1" * 1000 + "世" * 200_000])
+def test_long_texts_without_boundaries(tokenizer, text):
+    begin = time.time()
+    got = chunked_ids(tokenizer, text)
+    assert time.time() - begin < 8
+    assert got == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_counts_on_odd_inputs(spark, tokenizer):
     df = spark.createDataFrame(ODD, SCHEMA).withColumn("n_tokens", F.lit("clash"))
     got = sorted(((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in count_tokens(df, byte_bpe(), keep=["doc_id", "n_tokens"], chunk=10_000).collect()))
