@@ -36,6 +36,8 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
             current = after
             break
         current = after
+    else:
+        raise RuntimeError(f"components: no stars after {rounds} rounds")
     return current.select(F.col("u").alias("id"), F.col("v").alias("component")).union(current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
