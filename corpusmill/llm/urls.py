@@ -1,7 +1,8 @@
 """URL filters with DataFrame functions only: rules by host and path first, then gradient-boosted trees on lexical features.
 
 Trees are grown level by level from histograms: each level is one aggregation over the labelled URLs, which are first gathered into a small table of distinct
-binned features with counts. Only sums by node, feature and bin come to the driver; scoring is one expression.
+binned features with counts. Only sums by node, feature and bin come to the driver; scoring is one expression. Statistics of host suffixes are a table of all
+suffixes that the labelled URLs have, joined by hash.
 """
 
 from __future__ import annotations
@@ -13,9 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
+from .components import sized
 
-#: Labelled URLs that train the trees, at most (about, by the hash of the URL).
+#: Different labelled URLs that train the model, at most (about, by the hash of the URL). It bounds the suffix tables too (16 bytes a row).
 TRAIN_ROWS = 1_000_000
+#: Rows of the prior that a suffix's share is drawn to.
+SUFFIX_WEIGHT = 20.0
+SUFFIXES = (1, 2)
 BINS, TREES, DEPTH, RATE, L2 = 16, 12, 3, 0.3, 1.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -112,12 +117,12 @@ class Split:
 
 @dataclass
 class Model:
-    """A sum of trees over named features; suffix statistics are looked up from the labelled URLs."""
+    """A sum of trees over named features; suffix statistics are tables (key, share), one for each number of labels."""
 
     names: list[str]
     base: float
     trees: list[Split | Leaf]
-    suffixes: list[dict[str, float]]
+    suffixes: list[DataFrame]
     prior: float
 
     def margin(self, features: dict[str, Column]) -> Column:
@@ -126,20 +131,25 @@ class Model:
 
         return sum((node(t) for t in self.trees), F.lit(self.base))
 
-    def looked_up(self, host: Column) -> dict[str, Column]:
-        return {f"suffix_{k + 1}": share_of(table, suffix(host, k + 1), self.prior) for k, table in enumerate(self.suffixes)}
+    def looked_up(self, rows: DataFrame) -> DataFrame:
+        """rows (with host) and the statistics of their hosts' suffixes; a suffix that the labelled URLs lack has the prior's share."""
+        for k, table in zip(SUFFIXES, self.suffixes, strict=True):
+            named = sized(table.withColumnsRenamed({"key": f"__key{k}", "share": f"__share{k}"}))
+            rows = rows.join(named, F.xxhash64(suffix(F.col("host"), k)) == F.col(f"__key{k}"), "left").drop(f"__key{k}")
+        return rows
 
+    def features(self, url: str) -> dict[str, Column]:
+        return lexical(F.col(url), F.col("host"), F.col("path")) | {f"suffix_{k}": F.coalesce(F.col(f"__share{k}"), F.lit(self.prior)) for k in SUFFIXES}
 
-def share_of(table: dict[str, float], key: Column, prior: float) -> Column:
-    if not table:
-        return F.lit(prior)
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), F.lit(prior))
+    def score(self, rows: DataFrame, url: str) -> DataFrame:
+        """rows (with host and path) and score, the margin for block."""
+        return self.looked_up(rows).withColumn("score", self.margin(self.features(url))).drop(*[f"__share{k}" for k in SUFFIXES])
 
 
-def suffix_statistics(labelled: DataFrame, labels: int, prior: float, most: int = 128, weight: float = 20.0) -> dict[str, float]:
-    """The share of blocked URLs among those of each of the most frequent host suffixes of so many labels, drawn to the prior."""
-    rows = labelled.groupBy(suffix(F.col("host"), labels).alias("s")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(most).collect()
-    return {r["s"]: round((r["y"] + weight * prior) / (r["n"] + weight), 6) for r in rows}
+def suffix_statistics(rows: DataFrame, labels: int, prior: float, weight: float = SUFFIX_WEIGHT) -> DataFrame:
+    """Of every host suffix of so many labels (by its hash, key) the share of blocked URLs, drawn to the prior as far as it is rare. rows: host, y, n."""
+    summed = rows.groupBy(F.xxhash64(suffix(F.col("host"), labels)).alias("key")).agg(F.sum(F.col("y") * F.col("n")).alias("y"), F.sum("n").alias("n"))
+    return stash(summed.select("key", ((F.col("y") + weight * prior) / (F.col("n") + weight)).alias("share")), "suffixes")
 
 
 def grow(table: DataFrame, edges: list[list[float]], trees: int = TREES, depth: int = DEPTH) -> tuple[float, list[Split | Leaf]]:
@@ -204,59 +214,73 @@ def grow(table: DataFrame, edges: list[list[float]], trees: int = TREES, depth:
     return base, grown
 
 
-def train(labelled: DataFrame, url: str = "url", y: str = "y") -> Model | None:
-    """labelled: a URL and 1 for block, 0 for allow. About TRAIN_ROWS of them are used. None if one of the two is missing."""
+def sampled(labelled: DataFrame, url: str, y: str, most: int) -> DataFrame:
+    """url, host, path, y and n (rows): about most different URLs at most, each counted, so that one URL in very many rows is one row here."""
     cells = 1 << 20
-    n = labelled.where(F.col(y).isNotNull()).count()
-    chosen = labelled.where(F.col(y).isNotNull() & (F.pmod(F.xxhash64(F.col(url)), F.lit(cells)) < max(1, min(cells, cells * TRAIN_ROWS // max(1, n)))))
-    rows = stash(chosen.select(F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(y).cast("int").alias("y")), "urls")
-    blocked, total = rows.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    known = labelled.select(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")).alias("url"), F.col(f"`{y}`").cast("int").alias("y")).where("y IS NOT NULL")
+    n = known.agg(F.approx_count_distinct("url")).first()[0]
+    chosen = known.where(F.pmod(F.xxhash64("url"), F.lit(cells)) < max(1, min(cells, cells * most // max(1, n)))) if n > most else known
+    counted = chosen.groupBy("url", "y").agg(F.count("*").alias("n"))
+    return counted.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "y", "n")
+
+
+def train(labelled: DataFrame, url: str = "url", y: str = "y", most: int = TRAIN_ROWS) -> Model | None:
+    """labelled: a URL and 1 for block, 0 for allow; about most different URLs are used. None if one of the two is missing.
+
+    Half of the URLs give the suffix statistics and the other half grow the trees, so that no tree is grown on a share its own URL is part of.
+    """
+    rows = stash(sampled(labelled, url, y, most), "urls")
+    blocked, total = rows.agg(F.coalesce(F.sum(F.col("y") * F.col("n")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if not blocked or blocked == total:
         return None
     prior = blocked / total
-    model = Model([], 0.0, [], [suffix_statistics(rows, k, prior) for k in (1, 2)], prior)
-    features = lexical(F.col("url"), F.col("host"), F.col("path")) | model.looked_up(F.col("host"))
+    first_half = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(2)) == 0
+    model = Model([], 0.0, [], [suffix_statistics(rows.where(first_half), k, prior) for k in SUFFIXES], prior)
+    features = model.features("url")
     model.names = list(features)
-    values = stash(rows.select("y", F.array(*[c.cast("double") for c in features.values()]).alias("x")), "features")
+    values = stash(model.looked_up(rows.where(~first_half)).select("y", "n", F.array(*[c.cast("double") for c in features.values()]).alias("x")), "features")
     cuts = [k / BINS for k in range(1, BINS)]
     quantiles = values.agg(*[F.percentile_approx(F.col("x")[k], cuts, 2000).alias(f"q{k}") for k in range(len(features))]).first()
-    edges = [sorted(set(q)) for q in quantiles]
+    edges = [sorted(set(q or [])) for q in quantiles]
     binned = F.array(*[sum(((F.col("x")[k] > e).cast("int") for e in edges[k]), F.lit(0)) for k in range(len(features))])
-    table = stash(values.select("y", binned.alias("bins")).groupBy("bins", "y").agg(F.count("*").alias("n")), "bins")
+    table = stash(values.select("y", "n", binned.alias("bins")).groupBy("bins", "y").agg(F.sum("n").alias("n")), "bins")
     # a bin beyond the last edge can't be split off to its right
     model.base, model.trees = grow(table, [[*e, float("inf")] for e in edges])
     return model
 
 
-#: Words that label the hosts they are part of as unwanted, for want of labels given.
-UNWANTED = ["ad", "ads", "adult", "banner", "bet", "bets", "betting", "bonus", "casino", "cheap", "click", "coupon", "dating", "escort", "farm", "free", "gambling", "jackpot", "loan", "loans", "lottery", "money", "nude", "payday", "pharma", "pills", "poker", "porn", "prize", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "xxx"]
+def rule_labels(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
+    """url and y: 1 where a rule blocks, 0 where one allows, null where none fits."""
+    u = F.col(f"`{url}`").cast("string")
+    verdict = longest_rule(rules, host_of(u), path_of(u), "verdict")
+    return pages.select(u.alias("url"), F.when(verdict == "block", 1).when(verdict == "allow", 0).alias("y"))
 
 
-def seed_labels(pages: DataFrame, url: str = "url") -> DataFrame:
-    """url and y: 1 if a word of the host (between dots and hyphens) is unwanted; 0 for other hosts; null without a host."""
-    host = host_of(F.col(f"`{url}`").cast("string"))
-    words = "(?:" + "|".join(UNWANTED) + ")"
-    unwanted = host.rlike(rf"(?:^|\.)(?:{words}(?:-[^.]*)?|[^.]*-{words}(?:-[^.]*)?)\.")
-    return pages.select(F.col(f"`{url}`").cast("string").alias("url"), F.when(host != "", unwanted.cast("int")).alias("y"))
+def held_out_loss(labelled: DataFrame, url: str = "url", y: str = "y", parts: int = 10) -> tuple[float, float, float] | None:
+    """Mean log loss and accuracy on one of so many parts of the URLs by a model of the others, and the log loss of always saying the prior. None if there is nothing to learn or to hold out."""
+    held = F.pmod(F.xxhash64(F.coalesce(F.col(url).cast("string"), F.lit("")), F.lit(2)), F.lit(parts)) == 0
+    model = train(labelled.where(~held), url, y)
+    if model is None:
+        return None
+    scored = model.score(sampled(labelled.where(held), url, y, TRAIN_ROWS), "url").withColumn("p", 1 / (1 + F.exp(-F.col("score"))))
+    loss = lambda p: F.sum(-F.col("n") * F.when(F.col("y") == 1, F.log(p)).otherwise(F.log(1 - p)))
+    found, plain, right, n = scored.agg(loss(F.col("p")), loss(F.lit(model.prior)), F.sum(F.when((F.col("score") > 0) == (F.col("y") == 1), F.col("n")).otherwise(0)), F.sum("n")).first()
+    return (found / n, right / n, plain / n) if n else None
 
 
 def judge(pages: DataFrame, rules: list[Rule], *, url: str = "url", keep: list[str] | None = None, labelled: DataFrame | None = None) -> DataFrame:
     """keep (all columns if not given), host, path, rule (the longest fitting rule's string, else null), score (the model's margin for block) and verdict: the rule's, else block
     if score is over 0.
 
-    The trees learn from labelled (url, y), or if that isn't given from seed_labels(). If one of the two labels has no example the score is null and the verdict allow.
-    A null URL, and one without ://, has an empty host and path, fits no rule and is judged by its features. Columns of keep named as results give way.
+    The trees learn from labelled (url, y), or if that isn't given from the URLs that the rules settle. If one of the two labels has no example the score is null and the
+    verdict allow. A null URL, and one without ://, has an empty host and path, fits no rule and is judged by its features. Repeated URLs are judged each; an empty table gives
+    no rows. Columns of keep named as results give way.
     """
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "path", "rule", "score", "verdict")]
     u = F.col(f"`{url}`").cast("string")
-    ruled = pages.select(*[F.col(f"`{c}`") for c in keep], u.alias("__url"), host_of(u).alias("host"), path_of(u).alias("path"))
+    kept = [f"__keep{k}" for k in range(len(keep))]  # names that can't clash on the way
+    ruled = pages.select(*[F.col(f"`{c}`").alias(name) for c, name in zip(keep, kept, strict=True)], u.alias("__url"), host_of(u).alias("host"), path_of(u).alias("path"))
     ruled = ruled.withColumns({"rule": longest_rule(rules, F.col("host"), F.col("path"), "rule"), "__by_rule": longest_rule(rules, F.col("host"), F.col("path"), "verdict")})
-    if labelled is None:
-        labelled = seed_labels(pages, url)
-    model = train(labelled)
-    if model is None:
-        score = F.lit(None).cast("double")
-    else:
-        score = model.margin(lexical(F.col("__url"), F.col("host"), F.col("path")) | model.looked_up(F.col("host")))
-    judged = ruled.withColumn("score", score)
-    return judged.select(*[F.col(f"`{c}`") for c in keep], "host", "path", "rule", "score", F.coalesce("__by_rule", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))
+    model = train(rule_labels(pages, rules, url) if labelled is None else labelled)
+    judged = ruled.withColumn("score", F.lit(None).cast("double")) if model is None else model.score(ruled, "__url")
+    return judged.select(*[F.col(name).alias(c) for c, name in zip(keep, kept, strict=True)], "host", "path", "rule", "score", F.coalesce("__by_rule", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))

@@ -62,6 +62,86 @@ def test_trees_learn(spark):
     assert only.where("verdict <> 'allow' OR score IS NOT NULL").count() == 0
 
 
+def test_labels_come_from_the_rules(spark):
+    r = random.Random(18)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rules = [U.Rule("com", "/", "allow"), U.Rule("net", "/x", "block")]
+    rows = [(k, f"http://{word()}.com/{word()}" if k % 2 else f"http://{word()}.net/x{word()}?a={k}&b=1") for k in range(300)] + [(1000, "http://aabbcc.org/abcdef"), (1001, "http://aabbcc.net/yabcdef?a=5&b=1"), (1002, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("score", F.lit("clash")).withColumn("__url", F.lit("clash")).withColumn("n", F.lit("clash"))
+    labels = U.rule_labels(pages, rules)
+    assert {(x.y, x["count"]) for x in labels.groupBy("y").count().collect()} == {(0, 150), (1, 150), (None, 3)}
+    got = U.judge(pages, rules)
+    assert got.columns == ["page_id", "url", "__url", "n", "host", "path", "rule", "score", "verdict"] and got.count() == 303
+    verdicts = {x.page_id: x.verdict for x in got.collect()}
+    assert verdicts[1001] == "block" and verdicts[1000] == "allow"
+    loss, right, plain = U.held_out_loss(labels)
+    assert loss < 0.3 < 0.6 < plain and right > 0.95
+    assert U.held_out_loss(labels.where("y = 1")) is None
+
+
+def test_all_suffixes_count(spark):
+    rows = [(f"h{k % 400}.example", k % 400 % 2, 1 + k % 3) for k in range(800)]
+    table = U.suffix_statistics(spark.createDataFrame(rows, "host string, y int, n long"), 2, 0.5)
+    got = {x.key: x.share for x in table.collect()}
+    assert len(got) == 400
+    key = spark.createDataFrame([("a.h7.example",)], "host string").select(F.xxhash64(U.suffix(F.col("host"), 2))).first()[0]
+    n = sum(x[2] for x in rows if x[0] == "h7.example")
+    assert got[key] == pytest.approx((n + 10) / (n + 20))
+
+
+def plain_trees(rows, edges, trees, depth):
+    """rows: bins, y, n. Exact greedy search over all splits, node by node."""
+    blocked, total = sum(y * n for _, y, n in rows), sum(n for _, _, n in rows)
+    base = np.log((blocked + 0.5) / (total - blocked + 0.5))
+    margin, out = np.full(len(rows), base), []
+    bins, y, n = np.array([b for b, _, _ in rows]), np.array([y for _, y, _ in rows]), np.array([n for _, _, n in rows])
+
+    def node(mine, level, g, h):
+        if level < depth:
+            best = (1e-6, None)
+            for f in range(bins.shape[1]):
+                for b in sorted({*bins[mine, f]})[:-1]:
+                    left = mine & (bins[:, f] <= b)
+                    gl, hl, ga, ha = g[left].sum(), h[left].sum(), g[mine].sum(), h[mine].sum()
+                    gain = gl**2 / (hl + U.L2) + (ga - gl) ** 2 / (ha - hl + U.L2) - ga**2 / (ha + U.L2)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (f, b))
+            if best[1]:
+                f, b = best[1]
+                return (f, edges[f][b], node(mine & (bins[:, f] <= b), level + 1, g, h), node(mine & (bins[:, f] > b), level + 1, g, h))
+        return U.RATE * g[mine].sum() / (h[mine].sum() + U.L2)
+
+    def add(t, mine):
+        if isinstance(t, tuple):
+            f, edge, left, right = t
+            low = bins[:, f] <= edges[f].index(edge)
+            add(left, mine & low)
+            add(right, mine & ~low)
+        else:
+            margin[mine] += t
+
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        out.append(node(np.ones(len(rows), bool), 0, (y - p) * n, p * (1 - p) * n))
+        add(out[-1], np.ones(len(rows), bool))
+    return out
+
+
+def test_trees_like_brute_force(spark):
+    r = random.Random(28)
+    rows = []
+    for _ in range(150):
+        b = [r.randrange(4) for _ in range(3)]
+        rows.append((b, int(b[0] + b[1] + r.randrange(3) > 4), r.randint(1, 5)))
+    edges = [[0.5, 1.5, 2.5, float("inf")]] * 3
+
+    def plain(t):
+        return (t.feature, t.edge, plain(t.left), plain(t.right)) if isinstance(t, U.Split) else pytest.approx(t.value, abs=1e-6)
+
+    _, got = U.grow(spark.createDataFrame(rows, "bins array<int>, y int, n long"), edges, 3, 2)
+    assert plain_trees(rows, edges, 3, 2) == [plain(t) for t in got]
+
+
 def test_entropy(spark):
     df = spark.createDataFrame([("aabb",), ("",), ("aaaa",), ("abcd",), ("éü",)], "t string")
     assert [round(x[0], 6) for x in df.select(U.entropy(F.col("t"))).collect()] == [1.0, 0.0, 0.0, 2.0, 0.0]
