@@ -113,6 +113,7 @@ class Split:
     edge: float
     left: Split | Leaf
     right: Split | Leaf
+    left_share: float = 0.5  # of the weight that reached this node in training
 
 
 @dataclass
@@ -127,19 +128,24 @@ class Model:
 
     def margin(self, features: dict[str, Column]) -> Column:
         def node(t: Split | Leaf) -> Column:
-            return F.lit(t.value) if isinstance(t, Leaf) else F.when(features[self.names[t.feature]] <= t.edge, node(t.left)).otherwise(node(t.right))
+            if isinstance(t, Leaf):
+                return F.lit(t.value)
+            x, left, right = features[self.names[t.feature]], node(t.left), node(t.right)
+            found = F.when(x <= t.edge, left).when(x > t.edge, right)
+            # a statistic that isn't known says nothing: the mean of both sides
+            return found.otherwise(left * t.left_share + right * (1 - t.left_share)) if self.names[t.feature].startswith("suffix_") else found
 
         return sum((node(t) for t in self.trees), F.lit(self.base))
 
     def looked_up(self, rows: DataFrame) -> DataFrame:
-        """rows (with host) and the statistics of their hosts' suffixes; a suffix that the labelled URLs lack has the prior's share."""
+        """rows (with host) and the statistics of their hosts' suffixes; null for a suffix that the labelled URLs lack."""
         for k, table in zip(SUFFIXES, self.suffixes, strict=True):
             named = sized(table.withColumnsRenamed({"key": f"__key{k}", "share": f"__share{k}"}))
             rows = rows.join(named, F.xxhash64(suffix(F.col("host"), k)) == F.col(f"__key{k}"), "left").drop(f"__key{k}")
         return rows
 
     def features(self, url: str) -> dict[str, Column]:
-        return lexical(F.col(url), F.col("host"), F.col("path")) | {f"suffix_{k}": F.coalesce(F.col(f"__share{k}"), F.lit(self.prior)) for k in SUFFIXES}
+        return lexical(F.col(url), F.col("host"), F.col("path")) | {f"suffix_{k}": F.col(f"__share{k}") for k in SUFFIXES}
 
     def score(self, rows: DataFrame, url: str) -> DataFrame:
         """rows (with host and path) and score, the margin for block."""
@@ -205,7 +211,7 @@ def grow(table: DataFrame, edges: list[list[float]], trees: int = TREES, depth:
                 g, h = sums[node]
                 return Leaf(round(RATE * g / (h + L2), 9))
             f, b = splits[node]
-            return Split(f, edges[f][b], tree(2 * node + 1), tree(2 * node + 2))
+            return Split(f, edges[f][b], tree(2 * node + 1), tree(2 * node + 2), round(sums[2 * node + 1][1] / sums[node][1], 9))
 
         if not splits:
             break
@@ -224,21 +230,28 @@ def sampled(labelled: DataFrame, url: str, y: str, most: int) -> DataFrame:
     return counted.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "y", "n")
 
 
+def balanced(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """rows with n such that both labels weigh the same in all, as much as there are rows."""
+    half = sum(counts.values()) / 2
+    return rows.withColumn("n", F.col("n") * F.when(F.col("y") == 1, half / counts[1]).otherwise(half / counts[0]))
+
+
 def train(labelled: DataFrame, url: str = "url", y: str = "y", most: int = TRAIN_ROWS) -> Model | None:
     """labelled: a URL and 1 for block, 0 for allow; about most different URLs are used. None if one of the two is missing.
 
-    Half of the URLs give the suffix statistics and the other half grow the trees, so that no tree is grown on a share its own URL is part of.
+    The two labels weigh the same: how many URLs are labelled block says nothing of how many others should be. Half of the URLs give the suffix statistics and the other half grow the trees, so that no tree is grown on a share its own URL is part of.
     """
     rows = stash(sampled(labelled, url, y, most), "urls")
-    blocked, total = rows.agg(F.coalesce(F.sum(F.col("y") * F.col("n")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if not blocked or blocked == total:
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.sum("n").alias("n")).collect()}
+    if not counts.get(0) or not counts.get(1):
         return None
-    prior = blocked / total
+    rows = balanced(rows, counts)
+    prior = 0.5
     first_half = F.pmod(F.xxhash64("url", F.lit(1)), F.lit(2)) == 0
     model = Model([], 0.0, [], [suffix_statistics(rows.where(first_half), k, prior) for k in SUFFIXES], prior)
     features = model.features("url")
     model.names = list(features)
-    values = stash(model.looked_up(rows.where(~first_half)).select("y", "n", F.array(*[c.cast("double") for c in features.values()]).alias("x")), "features")
+    values = stash(model.looked_up(rows.where(~first_half)).select("y", "n", F.array(*[F.coalesce(c.cast("double"), F.lit(prior)) for c in features.values()]).alias("x")), "features")
     cuts = [k / BINS for k in range(1, BINS)]
     quantiles = values.agg(*[F.percentile_approx(F.col("x")[k], cuts, 2000).alias(f"q{k}") for k in range(len(features))]).first()
     edges = [sorted(set(q or [])) for q in quantiles]
@@ -256,16 +269,17 @@ def rule_labels(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFr
     return pages.select(u.alias("url"), F.when(verdict == "block", 1).when(verdict == "allow", 0).alias("y"))
 
 
-def held_out_loss(labelled: DataFrame, url: str = "url", y: str = "y", parts: int = 10) -> tuple[float, float, float] | None:
-    """Mean log loss and accuracy on one of so many parts of the URLs by a model of the others, and the log loss of always saying the prior. None if there is nothing to learn or to hold out."""
+def held_out_loss(labelled: DataFrame, url: str = "url", y: str = "y", parts: int = 10) -> tuple[float, float] | None:
+    """Log loss and accuracy on one of so many parts of the URLs by a model of the others, each the mean of the two labels' means (saying nothing: 0.693 and 0.5). None if there is nothing to learn or to hold out."""
     held = F.pmod(F.xxhash64(F.coalesce(F.col(url).cast("string"), F.lit("")), F.lit(2)), F.lit(parts)) == 0
     model = train(labelled.where(~held), url, y)
     if model is None:
         return None
     scored = model.score(sampled(labelled.where(held), url, y, TRAIN_ROWS), "url").withColumn("p", 1 / (1 + F.exp(-F.col("score"))))
-    loss = lambda p: F.sum(-F.col("n") * F.when(F.col("y") == 1, F.log(p)).otherwise(F.log(1 - p)))
-    found, plain, right, n = scored.agg(loss(F.col("p")), loss(F.lit(model.prior)), F.sum(F.when((F.col("score") > 0) == (F.col("y") == 1), F.col("n")).otherwise(0)), F.sum("n")).first()
-    return (found / n, right / n, plain / n) if n else None
+    loss = F.sum(-F.col("n") * F.when(F.col("y") == 1, F.log("p")).otherwise(F.log(1 - F.col("p")))) / F.sum("n")
+    right = F.sum(F.when((F.col("score") > 0) == (F.col("y") == 1), F.col("n")).otherwise(0)) / F.sum("n")
+    by_label = scored.groupBy("y").agg(loss, right).collect()
+    return (sum(r[1] for r in by_label) / 2, sum(r[2] for r in by_label) / 2) if len(by_label) == 2 else None
 
 
 def judge(pages: DataFrame, rules: list[Rule], *, url: str = "url", keep: list[str] | None = None, labelled: DataFrame | None = None) -> DataFrame:
