@@ -17,7 +17,7 @@ from .quality import resample
 from .sharding import histogram_sort
 from .token_counts import count_tokens
 from .urls import Rule, judge
-from .warc import classify, read_warc, write_warc
+from .warc import catalogue, classify, quarantine, read_warc, write_warc
 
 
 def byte_bpe() -> str:
@@ -95,20 +95,12 @@ def op9_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "warc")
-    write_warc(classify(table(spark, sf_dir, "pages"), least=0), path)
-    page = lambda name: F.regexp_extract(F.col("headers")[name], "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
-    return (
-        read_warc(spark, path, "part-*")
-        .where("kind = 'record'")
-        .select(
-            page("warc-record-id").alias("page_id"),
-            F.col("headers")["x-payload-length"].cast("long").alias("payload_bytes"),
-            F.regexp_replace(F.col("headers")["warc-payload-digest"], "^sha1:", "").alias("payload_digest"),
-            F.col("headers")["warc-type"].alias("record_type"),
-            page("warc-refers-to").alias("refers_to"),
-        )
-    )
+    path, log = fresh_path(spark, "warc"), fresh_path(spark, "quarantine")
+    write_warc(classify(table(spark, sf_dir, "pages"), url="url", least=0), path)
+    read = stash(read_warc(spark, path, "part-*").drop("payload"), "archive")
+    if n := quarantine(read, log):
+        raise ValueError(f"{n} damaged stretches in archives just written; see {log}")
+    return catalogue(read).select(F.col("page_id").cast("long"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,8 @@
 """WARC archives: written by Spark's own text writer, read back by a reader that salvages what damage leaves.
 
 A record's payload is stored once: later records of an equal payload are revisits that name it by digest. Each record is a gzip member of its own; the writer's line
-separator is an empty gzip member, so files are plain concatenations of members that any gzip or WARC reader takes, and they go to any store Spark can write.
+separator is an empty gzip member, so files are plain concatenations of members that any gzip or WARC reader takes, and they go to any store Spark can write. The text writer
+and cast("string") take bytes as they are: neither checks that they are UTF-8, which the round trip of the tests relies on and would show. Files are closed by bytes.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import settle, stash
+from .components import sized
 
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _CUT = "gzip: the member doesn't end"
@@ -31,26 +34,34 @@ RECORD = T.StructType(
         T.StructField("length", T.LongType()),  # bytes in the file
         T.StructField("reason", T.StringType()),  # of a gap
         T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("payload", T.BinaryType()),
+        T.StructField("payload", T.BinaryType()),  # the body of an HTTP response, else the whole block
+        T.StructField("payload_bytes", T.LongType()),  # both worked out from the payload read, not from headers
+        T.StructField("payload_digest", T.StringType()),
     ]
 )
+#: A file is closed once it has so many bytes.
+FILE_BYTES = 256 << 20
 
 
-def classify(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", least: int = 0) -> DataFrame:
-    """page_id, payload (UTF-8; null html is empty), payload_bytes, payload_sha1 (20 bytes), record_type and refers_to.
+def classify(pages: DataFrame, *, page_id: str = "page_id", html: str = "html", url: str | None = None, least: int = 0) -> DataFrame:
+    """page_id, url, payload (UTF-8; null html is empty), payload_bytes, payload_sha1 (20 bytes), record_type, refers_to, and the key that tells a page's records apart
+    with that of the record referred to (key, refers_key).
 
     Of pages with equal payloads of at least least bytes the one of the smallest page_id is a response, the others are revisits of it;
-    a null page_id comes last, and pages of the same smallest id are all responses. Smaller payloads are all responses.
+    a null page_id comes last, and pages of the same smallest id are all responses. Smaller payloads are all responses. Rows equal in id, url and payload give equal records.
     """
     payload = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), payload.alias("payload")).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.unhex(F.sha1("payload"))})
+    rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), (F.col(f"`{url}`").cast("string") if url else F.lit(None).cast("string")).alias("url"), payload.alias("payload"))
+    rows = rows.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.unhex(F.sha1("payload"))})
+    rows = rows.withColumn("key", F.lower(F.hex(F.xxhash64(F.coalesce("url", F.lit("")), "payload_sha1"))))
     # only digests are grouped, with partial sums before the exchange; a digest of its own needs no partner. As a table of its own the
     # rest is broadcast if it is small, and otherwise joined so that a common digest can be split.
-    groups = stash(rows.groupBy("payload_sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_sha1", "first"), "copies")
+    first = F.min(F.struct(F.isnull("page_id"), "page_id", "key"))
+    groups = stash(rows.groupBy("payload_sha1").agg(first.alias("f"), F.count("*").alias("n")).where("n > 1").select("payload_sha1", F.col("f.page_id").alias("first"), F.col("f.key").alias("first_key")), "copies")
     joined = rows.join(groups, "payload_sha1", "left")
     again = (F.col("payload_bytes") >= least) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
-        "page_id", "payload", "payload_bytes", "payload_sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to")
+        "page_id", "url", "payload", "payload_bytes", "payload_sha1", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), "key", F.when(again, F.col("first_key")).alias("refers_key")
     )
 
 
@@ -61,36 +72,67 @@ def record_bytes(headers: list[tuple[str, str]], block: bytes, compress: bool =
     return gzip.compress(record, 6, mtime=0) if compress else record
 
 
-def write_warc(classified: DataFrame, path: str, *, urls: str | None = None, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 4096) -> None:
-    """Writes classify()'s rows as gzipped WARC files under path, one for each task and records_per_file records. urls: a column with the target URI."""
+def write_warc(classified: DataFrame, path: str, *, date: str = "1970-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> None:
+    """Writes classify()'s rows as gzipped WARC files under path, in folders part=n: a task begins a new file once one has file_bytes. A response is an HTTP response
+    whose body is the payload; its target is the url, or urn:page: and the id."""
     settle(classified.sparkSession)
-    src = classified.select("page_id", F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"), "payload_bytes", "payload_sha1", "record_type", "refers_to", (F.col(urls) if urls else F.lit(None).cast("string")).alias("url"))
+    src = classified.select(F.col("page_id").cast("string"), F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"), "payload_bytes", "payload_sha1", "record_type", F.col("refers_to").cast("string"), "url", "key", "refers_key")
+    name = lambda page, key: f"<urn:page:{quote(page, safe='') if page is not None else ''}:{key}>"
 
     def encode(batches):
+        part, held = 0, 0
         for b in batches:
-            out = []
-            for page, payload, n, sha, kind, refers, url in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                digest = base64.b32encode(sha).decode()
-                uri = "".join(c for c in url or "" if c >= " ") or f"urn:page:{page}"
-                headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Payload-Length", str(n))]
+            out, parts = [], []
+            for page, payload, n, sha, kind, refers, url, key, refers_key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                uri = "".join(c for c in url or "" if c > " ") or f"urn:page:{quote(page or '', safe='')}"
+                headers = [("WARC-Type", kind), ("WARC-Record-ID", name(page, key)), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha1:{base64.b32encode(sha).decode()}")]
                 if kind == "revisit":
-                    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers}>")]
-                block = b"" if kind == "revisit" else payload
-                if kind == "response":
-                    headers.append(("WARC-Block-Digest", f"sha1:{digest}"))
+                    headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", name(refers, refers_key))]
+                    block = b""
+                else:
+                    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n + payload
+                    headers += [("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", f"sha1:{base64.b32encode(hashlib.sha1(block).digest()).decode()}")]
                 out.append(record_bytes(headers, block))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
+                parts.append(part)
+                held += len(out[-1]) + len(_EMPTY_MEMBER)
+                if held >= file_bytes:
+                    part, held = part + 1, 0
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.array(parts, pa.int32())], names=["member", "part"])
 
-    members = src.mapInArrow(encode, "member binary")
-    members.select(F.col("member").cast("string")).write.option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", records_per_file).text(path)
+    members = src.mapInArrow(encode, "member binary, part int").select(F.col("member").cast("string"), "part")
+    members.write.partitionBy("part").option("lineSep", _EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
-def _parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
+def body(headers: dict[str, str], block: bytes) -> bytes:
+    """What an HTTP response carries; of other blocks the whole."""
+    if headers.get("content-type", "").startswith("application/http") and (at := block.find(b"\r\n\r\n")) >= 0:
+        return block[at + 4 :]
+    return block
+
+
+class Marks:
+    """Where marks stand in data. A place once found is kept until the search has passed it, so looking for marks is linear in all."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at = data, {}
+
+    def next(self, mark: bytes, begin: int) -> int:
+        """The mark's first place at begin or after it, or -1. begin must not go back."""
+        at = self.at.get(mark, 0)
+        if at is not None and at <= begin:
+            found = self.data.find(mark, begin)
+            at = self.at[mark] = found if found >= 0 else None
+        return -1 if at is None else at
+
+
+def _parse(data: bytes, at: int, marks: Marks) -> tuple[dict[str, str], bytes, int] | str:
     """Headers, block and length of the record that begins at a place of data, or what is wrong."""
     if not (m := _VERSION.match(data, at)):
         return "no version line"
-    if (stop := data.find(b"\r\n\r\n", m.end() - 2)) < 0:
+    if (stop := marks.next(b"\r\n\r\n", m.end() - 2)) < 0:
         return "headers don't end"
+    if (again := marks.next(b"\r\nWARC/", m.end() - 2)) >= 0 and again < stop:
+        return "another version line before the headers end"
     headers = {}
     for line in data[m.end() : stop].split(b"\r\n"):
         name, colon, value = line.partition(b":")
@@ -157,7 +199,7 @@ def salvage(data: bytes, inside: int = 0) -> Iterator[tuple[int, str, int, str |
     What a member inflates to is searched in the same way (inside: how many members deep, two at most), up to where damage shows. Its records, and gaps between
     them, have the offset and length of the member, of a damaged one up to its last intact record. If a damaged member shows no bad
     record, any of it may be changed: its records without a digest are no intact ones."""
-    at, gap, reason = 0, None, None
+    at, gap, reason, marks = 0, None, None, Marks(data)
     while at < len(data):
         rows, after = [], at + 1
         if inside < 2 and data.startswith(b"\x1f\x8b", at):
@@ -173,7 +215,7 @@ def salvage(data: bytes, inside: int = 0) -> Iterator[tuple[int, str, int, str |
             else:
                 found, why = False, why or rows[0][3]
         else:
-            one = _parse(data, at) if _VERSION.match(data, at) else "no record begins here"
+            one = _parse(data, at, marks) if _VERSION.match(data, at) else "no record begins here"
             found, why = (False, one) if isinstance(one, str) else (True, None)
             if found:
                 rows, end = [(0, "record", one[2], None, one[0], one[1])], at + one[2]
@@ -188,31 +230,34 @@ def salvage(data: bytes, inside: int = 0) -> Iterator[tuple[int, str, int, str |
             after = end
         if gap is None:
             gap, reason = at, why
-        nexts = [p for p in (data.find(b"\x1f\x8b\x08", after), data.find(b"WARC/", after)) if p >= 0]
+        nexts = [p for p in (marks.next(b"\x1f\x8b\x08", after), marks.next(b"WARC/", after)) if p >= 0]
         at = min(nexts, default=len(data))
     if gap is not None and gap < len(data):
         yield gap, "gap", len(data) - gap, reason, None, None
 
 
 def read_warc(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Every intact record and every quarantined gap of the archives under path (see RECORD). A file is one task's work and must fit a
-    cell (2 GB) and its memory; an empty folder gives no rows."""
+    """Every intact record and every quarantined gap of the archives under path and its folders (see RECORD). A file is one task's work; the files of write_warc have FILE_BYTES and one
+    record at most. A foreign file over 2 GB, Spark's bound on a cell, is an error and not passed over. An empty folder gives no rows."""
     settle(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
 
     def read(batches):
-        schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("kind", pa.string()), ("length", pa.int64()), ("reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
+        schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("kind", pa.string()), ("length", pa.int64()), ("reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows, held = [], 0
                 for offset, kind, n, reason, headers, block in salvage(content.as_py()):
-                    rows.append((name, offset, kind, n, reason, list(headers.items()) if headers is not None else None, block))
+                    payload = body(headers, block) if headers is not None else None
+                    of_payload = (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()) if payload is not None else (None, None)
+                    rows.append((name, offset, kind, n, reason, list(headers.items()) if headers is not None else None, payload, *of_payload))
                     held += len(block or b"")
                     if held > 4 << 20 or len(rows) >= 1024:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                        yield batch(rows)
                         rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    yield batch(rows)
 
     return files.mapInArrow(read, RECORD)
 
@@ -222,6 +267,31 @@ def gaps(archive: DataFrame) -> DataFrame:
     return archive.where("kind = 'gap'").select("file", "offset", "length", "reason")
 
 
+def quarantine(archive: DataFrame, path: str) -> int:
+    """Writes the quarantine log to path and returns how many gaps it has; without any, nothing is written."""
+    found = gaps(archive)
+    n = found.count()
+    if n:
+        found.write.parquet(path)
+    return n
+
+
+def catalogue(archive: DataFrame) -> DataFrame:
+    """page_id (text), payload_bytes, payload_digest, record_type and refers_to (text) of every record of write_warc's. Size and digest are those of payloads read; a
+    revisit has those of a response with the digest that it names, or none if no such response was read."""
+    page = lambda name: F.nullif(F.url_decode(F.regexp_extract(F.col("headers")[name], "^<urn:page:([^:>]*):", 1)), F.lit(""))
+    header = lambda name: F.col("headers")[name]
+    records = archive.where("kind = 'record'").select(
+        page("warc-record-id").alias("page_id"), "payload_bytes", "payload_digest", header("warc-type").alias("record_type"), page("warc-refers-to").alias("refers_to"), F.regexp_replace(header("warc-payload-digest"), "^sha1:", "").alias("named")
+    )
+    again, others = records.where("record_type = 'revisit'"), records.where("record_type <> 'revisit' OR record_type IS NULL")
+    wanted = stash(again.select(F.col("named").alias("payload_digest")).distinct(), "named")
+    known = stash(others.join(sized(wanted), "payload_digest", "left_semi").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes")), "originals")
+    again = again.drop("payload_bytes", "payload_digest").join(sized(known.withColumnRenamed("payload_digest", "__digest")), F.col("named") == F.col("__digest"), "left").withColumn("payload_digest", F.col("__digest"))
+    cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return others.select(cols).unionByName(again.select(cols))
+
+
 def resolve(archive: DataFrame) -> DataFrame:
     """Records with payloads filled in: a revisit gets that of the response it refers to (null if that one was lost)."""
     records = archive.where("kind = 'record'").select(F.col("headers")["warc-record-id"].alias("record_id"), F.col("headers")["warc-type"].alias("record_type"), F.col("headers")["warc-refers-to"].alias("refers_to"), "payload")

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -328,21 +329,58 @@ PAGES = [(5, "http://x/é", "same"), (3, None, "same"), (9, "http://y", "same"),
 
 
 def test_round_trip(spark, tmp_path):
-    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("payload", F.lit("clash"))
-    W.write_warc(W.classify(df), str(tmp_path / "w"), records_per_file=2)
-    archive = W.read_warc(spark, str(tmp_path / "w"), "part-*")
-    assert W.gaps(archive).count() == 0
-    got = {r.record_id: r for r in W.resolve(archive).collect()}
-    for page, _, html in PAGES:
-        assert got[f"<urn:page:{page}>"].payload.decode() == (html or "")
-    assert {k for k, r in got.items() if r.record_type == "revisit"} == {"<urn:page:5>", "<urn:page:9>", "<urn:page:None>", "<urn:page:8>"}
-    assert all(r.refers_to == "<urn:page:3>" for k, r in got.items() if k in ("<urn:page:5>", "<urn:page:9>"))
+    df = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("payload", F.lit("clash")).withColumn("key", F.lit("clash"))
+    for k, limit in enumerate((1, 3000, W.FILE_BYTES)):
+        W.write_warc(W.classify(df, url="url"), str(tmp_path / f"w{k}"), file_bytes=limit)
+        archive = W.read_warc(spark, str(tmp_path / f"w{k}"), "part-*")
+        assert W.gaps(archive).count() == 0 and W.quarantine(archive, str(tmp_path / "log")) == 0 and not (tmp_path / "log").exists()
+        got = {r.record_id.split(":")[2] or None: r for r in W.resolve(archive).collect()}
+        assert len({r.record_id for r in got.values()}) == len(PAGES) == len(got)
+        for page, _, html in PAGES:
+            assert got[str(page) if page is not None else None].payload.decode() == (html or "")
+        assert {k for k, r in got.items() if r.record_type == "revisit"} == {"5", "9", None, "8"}
+        assert all(r.refers_to.startswith("<urn:page:3:") for k, r in got.items() if k in ("5", "9"))
+    assert archive.select("file").distinct().count() <= df.rdd.getNumPartitions()
     one = {r.record_type for r in W.classify(df, least=10**9).collect()}
     assert one == {"response"}
+    heads = {r.h["warc-target-uri"] for r in archive.select(F.col("headers").alias("h")).collect()}
+    assert "http://x/é" in heads and {r[0] for r in archive.select(F.col("headers")["content-type"]).where("headers['warc-type'] = 'response'").collect()} == {"application/http; msgtype=response"}
     W.write_warc(W.classify(df.where("false")), str(tmp_path / "none"))
     assert W.read_warc(spark, str(tmp_path / "none"), "part-*").count() == 0
 
 
+def test_catalogue_reads_payloads(spark, tmp_path):
+    pages = [*PAGES, (4, "u", None), (4, "v", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    W.write_warc(W.classify(df), str(tmp_path / "w"))
+    rows = W.catalogue(W.read_warc(spark, str(tmp_path / "w"), "part-*")).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        html = next(h for p, _, h in pages if str(p) == str(r.page_id)) or ""
+        assert r.payload_bytes == len(html.encode()) and r.payload_digest == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+    names = spark.createDataFrame([("a b>:/é", "x"), ("z", "x")], "page_id string, html string")
+    W.write_warc(W.classify(names), str(tmp_path / "names"))
+    got = W.catalogue(W.read_warc(spark, str(tmp_path / "names"), "part-*")).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in got) == [("a b>:/é", "response", None), ("z", "revisit", "a b>:/é")]
+
+
+def test_damage_is_logged(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    whole = b"".join(records(6))
+    (tmp_path / "in" / "a.warc").write_bytes(whole[:300] + b"\0" * 40 + whole[340:])
+    archive = W.read_warc(spark, str(tmp_path / "in"))
+    n = W.quarantine(archive, str(tmp_path / "log"))
+    assert n > 0 and spark.read.parquet(str(tmp_path / "log")).count() == n
+
+
+def test_salvage_is_linear():
+    one = W.record_bytes([("WARC-Type", "resource"), ("WARC-Record-ID", "<1>")], b"text " * 400, False)
+    for data in (one * 38_000, b"WARC/ \x1f\x8b\x08" * 500_000, b"WARC/1.0\r\nx" * 400_000):
+        begin = time.time()
+        kinds = {x[1] for x in W.salvage(data)}
+        assert kinds == ({"record"} if data.startswith(one) else {"gap"}) and time.time() - begin < 10
+
+
 def records(n):
     body = lambda k: b"body %d " % k * 50
     digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
