@@ -1,14 +1,16 @@
 """Largest inner products by a hierarchical k-means tree and best-bin-first traversal.
 
 Vectors get one more component, sqrt(M^2 - |x|^2) with the largest norm M, and queries a 0 there: the nearest by distance are then those of the
-largest inner product. The tree is fitted on a bounded sample, every vector is put into a leaf, and each query visits leaves in the order of a
-priority queue over nodes. How many leaves is calibrated: for some queries the exact neighbours are found by brute force, and visits are widened until
-the wanted share of them is inside. Leaves and their visitors meet in blocks of bounded size, however large a leaf is.
+largest inner product. The tree has two parts. Its upper part is fitted on a bounded sample and broadcast; its leaves are regions of about a thousand rows. Each region's rows
+meet in a task, which fits the lower part on them, down to leaves of a few rows, and answers the queries that come by.
+
+Best-bin-first pops nodes from a priority queue, the nearest centre first, until the least entry lies beyond a query's bound. The leaves popped so are exactly those
+on whose path no centre is beyond the bound, which is how regions find them without a common queue. How far out the bounds lie is calibrated: for some queries the exact
+neighbours are found by brute force, and the bound is widened until the wanted share of them is inside. A query's bound is in units of the spread of its own scores.
 """
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,21 +21,23 @@ from pyspark.sql import types as T
 
 from .common import settle, stash
 
-#: The tree is fitted on about so many vectors at most, and calibrated on about so many queries.
-FIT_ROWS, CALIBRATION_QUERIES = 16_384, 128
-LEAF_ROWS, BRANCHES, MIN_FIT_PER_LEAF = 1_024, 8, 8
-#: Rows of a leaf, and queries that visit it, that meet in one group.
+#: The upper tree is fitted on a 64th of the vectors, but so many at least and at most; calibration takes about so many queries.
+FIT_ROWS, CALIBRATION_QUERIES = (16_384, 524_288), 128
+#: Rows of a region (past 65,536 regions they grow), of a leaf, and of the sample for each region at least.
+REGION_ROWS, LEAF_ROWS, BRANCHES, MIN_FIT_PER_LEAF = 1_024, 8, 8, 8
+#: Rows of a region, and queries that visit it, that meet in one group.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 2_048
 
 
 @dataclass
 class Tree:
-    """Nodes with centres; children of -1 are none; leaf is the number of a leaf, or -1."""
+    """Nodes with centres, each after its parent; children of -1 are none; leaf is the number of a leaf, or -1."""
 
     centres: np.ndarray
     children: np.ndarray
     leaf: np.ndarray
     nodes_of_leaf: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    parent: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
     @staticmethod
     def fit(x: np.ndarray, leaves: int, branches: int = BRANCHES, seed: int = 7) -> Tree:
@@ -60,6 +64,9 @@ class Tree:
         self.nodes_of_leaf = np.zeros(self.leaf.max() + 1, np.int64)
         inside = np.flatnonzero(self.leaf >= 0)
         self.nodes_of_leaf[self.leaf[inside]] = inside
+        self.parent = np.zeros(len(self.leaf), np.int64)
+        node, k = np.nonzero(self.children >= 0)
+        self.parent[self.children[node, k]] = node
         return self
 
     def distances(self, x: np.ndarray) -> np.ndarray:
@@ -75,20 +82,22 @@ class Tree:
             at[inner] = kids[np.arange(len(inner)), far.argmin(axis=1)]
         return self.leaf[at]
 
-    def visits(self, d: np.ndarray, sizes: np.ndarray, least_leaves: int, least_rows: int) -> list[int]:
-        """Leaves in best-bin-first order for one query (its row of distances): at least so many, holding at least so many rows together."""
-        heap, out, rows = [(0.0, 0)], [], 0
-        while heap and (len(out) < least_leaves or rows < least_rows):
-            _, node = heapq.heappop(heap)
-            if self.leaf[node] >= 0:
-                if sizes[self.leaf[node]]:
-                    out.append(int(self.leaf[node]))
-                    rows += int(sizes[self.leaf[node]])
-                continue
-            for kid in self.children[node]:
-                if kid >= 0:
-                    heapq.heappush(heap, (float(d[kid]), int(kid)))
-        return out
+    def keys(self, q: np.ndarray) -> np.ndarray:
+        """For each query and leaf the largest distance on the way there (the root's doesn't count): a queue that pops until its least entry is over a bound pops the leaves up to that key."""
+        key = self.distances(q)
+        key[:, 0] = -np.inf
+        for node in range(1, key.shape[1]):
+            np.maximum(key[:, node], key[:, self.parent[node]], out=key[:, node])
+        return key[:, self.nodes_of_leaf]
+
+
+def popped(key: np.ndarray, sizes: np.ndarray, bound: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which leaves each query visits: those with a key up to its bound, and the nearest until it has seen least rows. The second part says which of them are needed for that."""
+    order = np.argsort(key, axis=1, kind="stable")
+    seen = np.cumsum(sizes[order], axis=1) - sizes[order]
+    needed = np.zeros(key.shape, bool)
+    np.put_along_axis(needed, order, seen < least[:, None], axis=1)
+    return (key <= bound[:, None]) | needed, needed
 
 
 def split(x: np.ndarray, branches: int, rng: np.random.Generator, rounds: int = 8) -> list[tuple[np.ndarray, np.ndarray]] | None:
@@ -123,42 +132,69 @@ def augmented(x: np.ndarray, norm2: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(norm2 - (x**2).sum(axis=1), 0))[:, None]])
 
 
-def top(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best rows of x (rows of the query's own id never): query index, row index, score. Scores are summed in one
-    fixed order, so equal vectors have equal scores; these are ordered by id."""
+def top(rough: np.ndarray, queries: np.ndarray, x: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query (a row of rough scores, -inf for what it doesn't see) its k best of x: query index, row index, score. Scores are summed in one
+    fixed order, so equal vectors have equal scores; these are ordered by id, then by row number."""
+    if rough.shape[1] > k:
+        kth = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
+        near = rough >= np.where(np.isfinite(kth), kth - 1e-9 * (1 + np.abs(kth)), -np.inf)[:, None]
+    else:
+        near = np.ones(rough.shape, bool)
+    near &= rough > -np.inf
     out_q, out_r, out_s = [], [], []
-    for begin in range(0, len(queries), step):
-        q = queries[begin : begin + step]
-        rough = q @ x.T
-        rough[query_ids[begin : begin + step, None] == ids[None, :]] = -np.inf
-        if x.shape[0] > k:
-            kth = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
-            near = rough >= (kth - 1e-9 * (1 + np.abs(kth)))[:, None]
-        else:
-            near = np.ones(rough.shape, bool)
-        near &= rough > -np.inf
-        for i in range(len(q)):
-            rows = np.flatnonzero(near[i])
-            score = (x[rows] * q[i]).sum(axis=1)
-            o = np.lexsort((ids[rows], -score))[:k]
-            out_q.append(np.full(len(o), begin + i))
-            out_r.append(rows[o])
-            out_s.append(score[o])
+    for i in range(len(queries)):
+        r = np.flatnonzero(near[i])
+        score = (x[r] * queries[i]).sum(axis=1)
+        o = np.lexsort((rows[r], ids[r], -score))[:k]
+        out_q.append(np.full(len(o), i))
+        out_r.append(r[o])
+        out_s.append(score[o])
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return join(out_q, np.int64), join(out_r, np.int64), join(out_s, np.float64)
 
 
+def hide(rough: np.ndarray, own: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """rough without each query's own row. rows is ascending."""
+    at = np.minimum(np.searchsorted(rows, own), len(rows) - 1)
+    mine = np.flatnonzero(rows[at] == own)
+    rough[mine, at[mine]] = -np.inf
+    return rough
+
+
+@dataclass
+class Spread:
+    """How a query's scores over all vectors are spread, from a sample: bounds are so many of these from the mean."""
+
+    norm2: float
+    mean: np.ndarray
+    cov: np.ndarray
+
+    @staticmethod
+    def of(x: np.ndarray, norm2: float) -> Spread:
+        mean = x.mean(axis=0)
+        return Spread(norm2, mean, (x - mean).T @ (x - mean) / len(x))
+
+    def units(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sd = np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", q, self.cov, q), 0))
+        return self.norm2 - 2 * q @ self.mean, 2 * sd + 1e-9 * (1 + np.sqrt(self.norm2 * (q**2).sum(axis=1)))
+
+
 def best(found: DataFrame, k: int) -> DataFrame:
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    by = Window.partitionBy("query_row").orderBy(F.desc("score"), "id", "row")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def search(vectors: DataFrame, is_query: Column, *, id: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.95, fit_rows: int = FIT_ROWS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def as_query(q: np.ndarray) -> np.ndarray:
+    return np.hstack([q, np.zeros((len(q), 1))])
+
+
+def search(vectors: DataFrame, is_query: Column, *, id: str = "vec_id", vector: str = "embedding", k: int = 20, recall: float = 0.95, region_rows: int = REGION_ROWS, leaf_rows: int = LEAF_ROWS, report: dict | None = None) -> DataFrame:
     """The k rows of the largest inner product with each query row, by the index: query_id, rank (from 1), id, score, best first, ties to the smaller id.
 
-    is_query picks the queries among the rows; a row is never a neighbour of its own id. Rows with a null id, with vectors null, zero, with null or
-    non-finite components, or of another length than most take no part; rows repeated wholly count once. All valid rows are indexed; recall is the share of true neighbours
-    that calibration asks for. Fewer than k candidates give fewer rows, an empty table none.
+    is_query picks the queries among the rows. A row is never its own neighbour, but any other row is a candidate, repeated rows and rows of the same id too; rows of an id that is picked
+    are queries each, with k answers each under that id. Rows with a null id, with vectors null, zero, with null or non-finite components, or of another length than most take no part.
+    id must be a number (it is cast to long). All valid rows are indexed; recall is the share of true neighbours that calibration asks for. Fewer than k candidates give
+    fewer rows, an empty table none. report, if given, is told regions, bound, and share: the part of all rows that the calibration's queries are compared with.
     """
     spark = settle(vectors.sparkSession)
     kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
@@ -169,98 +205,122 @@ def search(vectors: DataFrame, is_query: Column, *, id: str = "vec_id", vector:
         return spark.createDataFrame([], out)
     dim, count, norm2 = max(facts, key=lambda r: (r[1], r[0]))
     rows = rows.where(F.size("v") == dim)
-    cells = 1 << 20
-    share = F.pmod(F.xxhash64("id"), F.lit(cells)) < max(1, min(cells, cells * fit_rows // count))
+    fit_rows, cells = max(FIT_ROWS[0], min(FIT_ROWS[1], count // 64)), 1 << 20
+    share = F.pmod(F.xxhash64("id", "v"), F.lit(cells)) < max(1, min(cells, cells * fit_rows // count))
     sample = matrix(rows.where(share).select("v").limit(2 * fit_rows).toArrow().column(0).combine_chunks())
     if not len(sample):
         sample = matrix(rows.select("v").limit(fit_rows).toArrow().column(0).combine_chunks())
-    tree = Tree.fit(augmented(sample, norm2), min(-(-count // leaf_rows), fit_rows // MIN_FIT_PER_LEAF))
-    shared = spark.sparkContext.broadcast(tree)
+    tree = Tree.fit(augmented(sample, norm2), min(-(-count // region_rows), fit_rows // MIN_FIT_PER_LEAF))
+    shared = spark.sparkContext.broadcast((tree, Spread.of(sample, norm2)))
 
     def put(batches):
+        tree = shared.value[0]
         for b in batches:
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.assign(augmented(matrix(b.column(1)), norm2)).astype(np.int32))], names=["id", "v", "q", "leaf"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.assign(augmented(matrix(b.column(1)), norm2)).astype(np.int32))], names=["id", "v", "q", "row", "region"])
 
-    indexed = stash(rows.mapInArrow(put, f"id long, v {kind}, q boolean, leaf int"), "ann")
+    # rows are told apart by a number of their own, which stays as it is once the table is written
+    indexed = stash(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(put, f"id long, v {kind}, q boolean, row long, region int"), "ann")
     sizes = np.zeros(tree.leaf.max() + 1, np.int64)
-    for leaf, n in indexed.groupBy("leaf").count().collect():
-        sizes[leaf] = n
-    needed = calibrate(indexed, tree, sizes, k, recall)
-    layout = spark.sparkContext.broadcast((sizes, -(-sizes // BLOCK_ROWS)))
+    for region, n in indexed.groupBy("region").count().collect():
+        sizes[region] = n
+    blocks = -(-sizes // BLOCK_ROWS)
+    blocked = indexed.join(F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(blocks)], "region int, blocks int")), "region").select("region", F.pmod(F.xxhash64("row"), "blocks").cast("int").alias("block"), "row", "id", "v")
+
+    def lower(a: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tree, np.ndarray]:
+        """Rows (ascending), ids, vectors, the lower tree and each row's leaf. The same rows give the same tree, whatever order they come in."""
+        row = a.column("row").to_numpy()
+        order = np.argsort(row)
+        x = matrix(a.column("v").combine_chunks())[order]
+        own = Tree.fit(augmented(x, norm2), -(-len(x) // leaf_rows))
+        return row[order], a.column("id").to_numpy()[order], x, own, own.assign(augmented(x, norm2))
+
+    z = calibrate(indexed, blocked, shared, lower, kind, k, recall, report)
+    if report is not None:
+        report |= {"regions": int((sizes > 0).sum()), "bound": z}
+    layout = spark.sparkContext.broadcast((sizes, blocks))
 
     def visit(batches):
-        tree, (sizes, blocks) = shared.value, layout.value
+        (tree, spread), (sizes, blocks) = shared.value, layout.value
+        step = max(1, (1 << 22) // len(tree.leaf))
         for b in batches:
-            x = matrix(b.column(1))
-            if not len(x):
-                continue
-            d = tree.distances(np.hstack([x, np.zeros((len(x), 1))]))
-            row, leaf, block = [], [], []
-            for i in range(len(x)):
-                for one in tree.visits(d[i], sizes, needed, k + 1):
-                    row += [i] * int(blocks[one])
-                    leaf += [one] * int(blocks[one])
-                    block += range(int(blocks[one]))
-            for at in range(0, len(row), 1 << 14):
-                to = at + (1 << 14)
-                take = pa.array(row[at:to], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(leaf[at:to], pa.int32()), pa.array(block[at:to], pa.int32())], names=["id", "v", "leaf", "block"])
-
-    visiting = indexed.where("q").select("id", "v").mapInArrow(visit, f"id long, v {kind}, leaf int, block int")
-    crowds = stash(visiting, "visits")
+            for begin in range(0, b.num_rows, step):
+                part = b.slice(begin, step)
+                q = matrix(part.column(1))
+                mean, unit = spread.units(q)
+                bound = mean + z * unit
+                seen, needed = popped(np.where(sizes > 0, tree.keys(as_query(q)), np.inf), sizes, bound, np.full(len(q), k + 1))
+                i, region = np.nonzero(seen & (sizes > 0))
+                n = blocks[region]
+                i, region, block = np.repeat(i, n), np.repeat(region, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                for at in range(0, len(i), 1 << 14):
+                    to = at + (1 << 14)
+                    take = pa.array(i[at:to])
+                    cols = [*(part.column(c).take(take) for c in range(3)), pa.array(region[at:to].astype(np.int32)), pa.array(block[at:to].astype(np.int32)), pa.array(bound[i[at:to]]), pa.array(needed[i[at:to], region[at:to]])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["id", "v", "row", "region", "block", "bound", "needed"])
+
+    crowds = stash(indexed.where("q").select("id", "v", "row").mapInArrow(visit, f"id long, v {kind}, row long, region int, block int, bound double, needed boolean"), "visits")
     n_visits = np.ones(len(sizes), np.int64)
-    for leaf, n in crowds.where("block = 0").groupBy("leaf").count().collect():
-        n_visits[leaf] = -(-n // BLOCK_QUERIES)
-    # blocks of a leaf x blocks of its visitors: every pair of blocks meets once
-    per_leaf = spark.createDataFrame([(i, int(-(-sizes[i] // BLOCK_ROWS)), int(n_visits[i])) for i in range(len(sizes))], "leaf int, blocks int, crowds int")
-    left = indexed.join(F.broadcast(per_leaf), "leaf").select("leaf", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"), "id", "v")
-    right = crowds.join(F.broadcast(per_leaf), "leaf").select("leaf", "block", F.pmod(F.xxhash64("id"), "crowds").cast("int").alias("crowd"), "id", "v")
+    for region, n in crowds.where("block = 0").groupBy("region").count().collect():
+        n_visits[region] = -(-n // BLOCK_QUERIES)
+    # blocks of a region x blocks of its visitors: every pair of blocks meets once
+    per_region = F.broadcast(spark.createDataFrame([(i, int(n)) for i, n in enumerate(n_visits)], "region int, crowds int"))
+    left = blocked.join(per_region, "region").select("region", "block", F.explode(F.sequence(F.lit(0), F.col("crowds") - 1)).alias("crowd"), "row", "id", "v")
+    right = crowds.join(per_region, "region").select("region", "block", F.pmod(F.xxhash64("row"), "crowds").cast("int").alias("crowd"), "row", "id", "v", "bound", "needed")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        kinds = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+        kinds = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("score", pa.float64())])
         if not a.num_rows or not b.num_rows:
             return kinds.empty_table()
-        ids, at = np.unique(a.column("id").to_numpy(), return_index=True)
-        qids, qat = np.unique(b.column("id").to_numpy(), return_index=True)
-        q, r, s = top(matrix(b.column("v").combine_chunks())[qat], qids, matrix(a.column("v").combine_chunks())[at], ids, k)
-        return pa.table([qids[q], ids[r], s], schema=kinds)
-
-    key = ["leaf", "block", "crowd"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, id long, score double")
+        row, ids, x, own, leaf = lower(a)
+        by_leaf = np.argsort(leaf, kind="stable")
+        sizes = np.bincount(leaf, minlength=own.leaf.max() + 1)
+        ends = np.cumsum(sizes)
+        q, qid, qrow, bound = matrix(b.column("v").combine_chunks()), b.column("id").to_numpy(), b.column("row").to_numpy(), b.column("bound").to_numpy()
+        least = np.where(b.column("needed").to_numpy(), k + 1, 0)
+        parts = []
+        for at in range(0, len(q), 256):
+            some = slice(at, at + 256)
+            seen, _ = popped(own.keys(as_query(q[some])), sizes, bound[some], least[some])
+            rough = np.full((len(q[some]), len(x)), -np.inf)
+            for one in np.flatnonzero(seen.any(axis=0) & (sizes > 0)):
+                mine, inside = np.flatnonzero(seen[:, one]), by_leaf[ends[one] - sizes[one] : ends[one]]
+                rough[np.ix_(mine, inside)] = q[some][mine] @ x[inside].T
+            i, r, score = top(hide(rough, qrow[some], row), q[some], x, ids, row, k)
+            parts.append(pa.table([qid[some][i], qrow[some][i], ids[r], row[r], score], schema=kinds))
+        return pa.concat_tables(parts)
+
+    key = ["region", "block", "crowd"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(meet, "query_id long, query_row long, id long, row long, score double")
     return best(found, k).select("query_id", F.col("rank").cast("int"), "id", "score")
 
 
-def calibrate(indexed: DataFrame, tree: Tree, sizes: np.ndarray, k: int, recall: float, most: int = CALIBRATION_QUERIES) -> int:
-    """The smallest number of leaf visits at which the wanted share of the true neighbours of some queries is reached."""
+def calibrate(indexed: DataFrame, blocked: DataFrame, shared, lower, kind: str, k: int, recall: float, report: dict | None, most: int = CALIBRATION_QUERIES) -> float:
+    """The smallest bound, in units of a query's spread, at which the wanted share of the true neighbours of some queries is reached."""
     spark = indexed.sparkSession
-    asked = indexed.where("q").orderBy(F.xxhash64("id"), "id").select("id", "v").limit(most).collect()
+    asked = indexed.where("q").orderBy(F.xxhash64("row"), "row").select("row", "v").limit(most).collect()
     if not asked:
-        return 1
-    ids, x = np.array([r[0] for r in asked], np.int64), np.array([r[1] for r in asked], np.float64)
-    shared = spark.sparkContext.broadcast((ids, x))
-
-    def scan(batches):
-        ids, x = shared.value
-        for b in batches:
-            if b.num_rows:
-                own = b.column(0).to_numpy()
-                q, r, s = top(x, ids, matrix(b.column(1)), own, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(own[r]), pa.array(s), b.column(2).take(pa.array(r))], names=["query_id", "id", "score", "leaf"])
-
-    true = best(indexed.select("id", "v", "leaf").mapInArrow(scan, "query_id long, id long, score double, leaf int"), k).select("query_id", "leaf").collect()
-    d = tree.distances(np.hstack([x, np.zeros((len(x), 1))]))
-    order = {int(i): {leaf: n for n, leaf in enumerate(tree.visits(d[j], sizes, len(sizes), 0))} for j, i in enumerate(ids)}
-    places = sorted(order[q][leaf] for q, leaf in true)
-    return places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)] + 1 if places else 1
-
-
-def brute_force(vectors: list[tuple[int, list[float]]], query_ids: set[int], k: int) -> dict[int, list[int]]:
-    """For tests: exact neighbours of valid vectors."""
-    ids, x = np.array([i for i, _ in vectors]), np.array([v for _, v in vectors], np.float64)
-    at = [j for j, i in enumerate(ids) if int(i) in query_ids]
-    q, r, _ = top(x[at], ids[at], x, ids, k)
-    out: dict[int, list[int]] = {int(ids[j]): [] for j in at}
-    for i, row in zip(q, r, strict=True):
-        out[int(ids[at][i])].append(int(ids[row]))
-    return out
+        return 0.0
+    queries = spark.sparkContext.broadcast((np.array([r[0] for r in asked], np.int64), np.array([r[1] for r in asked], np.float64)))
+
+    def scan(a: pa.Table) -> pa.Table:
+        (qrow, q), (tree, spread) = queries.value, shared.value
+        row, ids, x, own, leaf = lower(a)
+        key = np.maximum(own.keys(as_query(q)), tree.keys(as_query(q))[:, [a.column("region")[0].as_py()]])
+        mean, unit = spread.units(q)
+        z = ((key - mean[:, None]) / unit[:, None])[:, leaf]
+        i, r, score = top(hide(q @ x.T, qrow, row), q, x, ids, row, k)
+        bins = np.bincount(np.clip((z * 16).astype(np.int64) + 512, 0, 1023).ravel(), minlength=1024)
+        some = np.flatnonzero(bins)
+        none = lambda n, kind: pa.nulls(n, kind)
+        found = pa.table({"query_row": qrow[i], "id": ids[r], "row": row[r], "score": score, "z": z[i, r], "bin": none(len(i), pa.int64()), "n": none(len(i), pa.int64())})
+        spreads = pa.table({"query_row": none(len(some), pa.int64()), "id": none(len(some), pa.int64()), "row": none(len(some), pa.int64()), "score": none(len(some), pa.float64()), "z": none(len(some), pa.float64()), "bin": some, "n": bins[some]})
+        return pa.concat_tables([found, spreads])
+
+    scanned = stash(blocked.groupBy("region", "block").applyInArrow(scan, "query_row long, id long, row long, score double, z double, bin long, n long"), "calibration")
+    places = sorted(r[0] for r in best(scanned.where("bin IS NULL"), k).select("z").collect())
+    z = places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)] + 1e-9 if places else 0.0
+    if report is not None:
+        bins = scanned.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("n")).collect()
+        report["share"] = sum(n for b, n in bins if (b - 512) / 16 <= z) / max(1, sum(n for _, n in bins))
+    return float(z)
