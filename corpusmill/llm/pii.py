@@ -4,6 +4,9 @@ Patterns propose spans. Labelers of three sorts vote on each for, against or not
 around it. Which vote patterns occur how often is one small table; expectation-maximisation on it estimates how reliable each labeler is for each kind and
 how probable each pattern is personal data. A logistic span classifier is then trained on these probabilities, over votes and shape, and decides
 on the spans that the fixed rules below don't settle. What the rules find stays in any case.
+
+Work grows with a text's length and its spans, not with their product: places are running sums and maxima worked out in blocks, and characters around a span are
+cut from pieces of the text of a fixed length.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ BASE = {
 #: Further forms, which only the classifier can accept.
 MORE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?i:at)[\])] ?[A-Za-z0-9-]{1,63}+(?:(?:\.| ?[\[(](?i:dot)[\])] ?)[A-Za-z0-9-]{1,63}+){1,8}",
+    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}+(?: ?[\[(](?:\.|(?i:dot))[\])] ?[0-9]{1,3}+){3}(?![0-9A-Za-z]|\.[0-9])",
+    "card": r"(?<![0-9A-Za-z._/*-])[0-9]{4}([._/*]|  )[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9A-Za-z]|[._/*-][0-9])",
     "phone": r"(?<![0-9A-Za-z+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z.-])",
 }
 TOP_LEVEL = ["com", "org", "net", "edu", "gov", "int", "info", "biz", "io", "co", "de", "fr", "es", "it", "nl", "uk", "eu", "ch", "at", "be", "us", "ca", "au", "jp", "cn", "in", "br", "ru", "pl", "se", "no", "dk", "fi", "pt"]
@@ -37,19 +42,67 @@ CONTEXT = 40
 VOTES = ["format", "gazetteer", "context", "edges"]
 
 
+#: Characters of a piece that single characters and contexts are cut from, and elements of a block of running values.
+PIECE, BLOCK = 1_024, 128
+
+
+def let(value: Column, body) -> Column:
+    """body of value, which is worked out once however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, start: Column, step) -> Column:
+    """For each element of values (longs) what step has made of start and all elements before it; step must be associative with start as its neutral element. One pass over
+    blocks and one over what they come to, since an array that grows by one element is copied each time."""
+    none = F.array().cast("array<bigint>")
+
+    def scan(block: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("to"), none.alias("out")), lambda a, v: F.struct(step(a["to"], v).alias("to"), F.concat(a["out"], F.array(a["to"])).alias("out")))
+
+    def blockwise(v: Column) -> Column:
+        begins = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(begins, lambda k: scan(part_of(v, k * BLOCK, F.least((k + 1) * BLOCK, F.size(v)) - 1))), joined)
+
+    def joined(parts: Column) -> Column:
+        before = scan(F.transform(parts, lambda p: p["to"]))["out"]
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p["out"], lambda x: step(b, x))))
+
+    return let(values, blockwise)
+
+
+def zero() -> Column:
+    return F.lit(0).cast("long")
+
+
 def spans_of(text: str, pattern: str) -> Column:
     """Leftmost non-overlapping matches of pattern as (begin, end, found), in code points, from the pieces between them."""
     t = F.col(text)
     found, between = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
     pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.char_length(g).cast("long").alias("g"), F.char_length(m).cast("long").alias("n")))
     empty = F.expr("CAST(array() AS array<struct<begin: bigint, end: bigint, found: string>>)")
-    folded = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")),
-        lambda a, p: F.struct((a["at"] + p["g"] + p["n"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + p["g"]).alias("begin"), (a["at"] + p["g"] + p["n"]).alias("end"), p["m"].alias("found")))).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.when(t.rlike(pattern), folded).otherwise(empty)
+
+    def placed(p: Column) -> Column:
+        before = running(F.transform(p, lambda x: x["g"] + x["n"]), zero(), lambda a, b: a + b)
+        return F.zip_with(p, before, lambda x, b: F.struct((b + x["g"]).alias("begin"), (b + x["g"] + x["n"]).alias("end"), x["m"].alias("found")))
+
+    return F.when(t.rlike(pattern), let(pairs, placed)).otherwise(empty)
+
+
+def pieces_of(text: Column) -> Column:
+    """text in pieces of PIECE characters."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part_of(array: Column, first: Column, last: Column) -> Column:
+    """The elements from first to last (from 0, both inclusive). slice() would go through the whole array each time."""
+    return F.transform(F.sequence(first, last), lambda k: F.get(array, k))
+
+
+def cut(pieces: Column, begin: Column, end: Column) -> Column:
+    """The characters from begin to end (exclusive; both longs), from the pieces they lie in."""
+    first, last = F.floor(begin / PIECE).cast("int"), F.floor((F.greatest(end, begin + 1) - 1) / PIECE).cast("int")
+    inside = F.array_join(part_of(pieces, first, last), "")
+    return F.when(end > begin, F.substring(inside, (begin - first * PIECE + 1).cast("int"), (end - begin).cast("int"))).otherwise("")
 
 
 def digits(found: Column) -> Column:
@@ -93,24 +146,25 @@ def gazetteer(kind: str, found: Column) -> Column:
     return F.when(found.startswith("+"), vote(known, ~known)).otherwise(vote(digits(found).rlike("^[2-9][0-9]{2}[2-9]"), F.lit(True)))
 
 
-def judged(text: str, kind: str, spans: Column, base: bool) -> Column:
+def judged(pieces: Column, kind: str, spans: Column, base: bool) -> Column:
     """Spans with their kind's number, whether they are base spans, votes, and shape (a small number)."""
-    t = F.col(text)
 
     def one(s: Column) -> Column:
-        before = F.lower(F.substring(t, F.greatest(s["begin"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(s["begin"], F.lit(CONTEXT)).cast("int")))
-        around = F.concat(F.substring(t, s["begin"].cast("int"), F.when(s["begin"] > 0, 1).otherwise(0)), F.lit(" "), F.substring(t, s["end"].cast("int") + 1, F.lit(1)))
+        before = F.lower(cut(pieces, F.greatest(s["begin"] - CONTEXT, zero()), s["begin"]))
+        around = F.concat(cut(pieces, F.greatest(s["begin"] - 1, zero()), s["begin"]), F.lit(" "), cut(pieces, s["end"], s["end"] + 1))
         good = passes(kind, s["found"])
-        if kind == "phone" and not base:
-            good = digits(s["found"]).rlike("^[2-9][0-9]{9}$")
+        if not base:
+            plain = digits(s["found"])
+            good = {"email": F.lit(True), "ip": passes("ip", F.regexp_replace(s["found"], "[^0-9]+", ".")), "card": passes("card", plain), "phone": plain.rlike("^[2-9][0-9]{9}$")}[kind]
         n = F.char_length(digits(s["found"]))
+        known = gazetteer(kind, s["found"] if base or kind != "ip" else F.regexp_replace(s["found"], "[^0-9]+", "."))
         return F.struct(
             F.lit(KINDS.index(kind)).cast("tinyint").alias("kind"),
             s["begin"].alias("begin"),
             s["end"].alias("end"),
             (good if base else F.lit(False)).alias("base"),
             vote(good, ~good).alias("format"),
-            gazetteer(kind, s["found"]).alias("gazetteer"),
+            known.alias("gazetteer"),
             vote(before.rlike(WORDS_FOR[kind]), before.rlike(WORDS_AGAINST)).alias("context"),
             vote(~around.rlike(r"[\p{L}\p{N}_]"), around.rlike(r"[A-Za-z0-9_]")).alias("edges"),
             (F.when(n < 9, 0).when(n < 13, 1).otherwise(2) * 2 + s["found"].rlike("[ ().-]").cast("int")).cast("tinyint").alias("shape"),
@@ -126,7 +180,9 @@ def candidates(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
     forms = [(k, p, True) for k, p in BASE.items()] + [(k, p, False) for k, p in MORE.items()]
     found = src.select("*", *[spans_of("__t", p).alias(f"__{i}") for i, (_, p, _) in enumerate(forms)])
-    joined = F.concat(*[judged("__t", k, F.col(f"__{i}"), base) for i, (k, _, base) in enumerate(forms)])
+    some = F.greatest(*[F.size(f"__{i}") for i in range(len(forms))]) > 0
+    found = found.withColumn("__pieces", F.when(some, pieces_of(F.col("__t"))).otherwise(F.array().cast("array<string>")))
+    joined = F.concat(*[judged(F.col("__pieces"), k, F.col(f"__{i}"), base) for i, (k, _, base) in enumerate(forms)])
     return found.select(*[F.col(f"`{c}`") for c in keep], joined.alias("candidates"))
 
 
@@ -183,6 +239,22 @@ def train(rows: list[tuple[list[float], float, float]], rounds: int = 200, decay
     return w
 
 
+def apart(spans: Column) -> Column:
+    """Those of spans (k, begin, end, base) that aren't base and overlap no base span."""
+    sides = F.sort_array(F.transform(spans, lambda c: F.struct(c["begin"].alias("begin"), c["end"].alias("end"), c["base"].alias("base"), c["k"].alias("k"))))
+    most = F.lit((1 << 62)).cast("long")
+
+    def inside(ordered: Column) -> Column:
+        reached = running(F.transform(ordered, lambda c: F.when(c["base"], c["end"]).otherwise(zero())), zero(), F.greatest)
+        # the next base span's begin: from the other end
+        ahead = F.reverse(running(F.transform(F.reverse(ordered), lambda c: F.when(c["base"], c["begin"]).otherwise(most)), most, F.least))
+        placed = F.zip_with(ordered, F.arrays_zip(reached.alias("reached"), ahead.alias("ahead")), lambda c, r: F.struct(c.alias("c"), r["reached"].alias("reached"), r["ahead"].alias("ahead")))
+        return F.transform(F.filter(placed, lambda p: ~p["c"]["base"] & (p["reached"] <= p["c"]["begin"]) & (p["ahead"] >= p["c"]["end"])), lambda p: F.struct(p["c"]["k"].alias("k"), p["c"]["begin"].alias("begin"), p["c"]["end"].alias("end"), p["c"]["base"].alias("base")))
+
+    free = let(sides, inside)
+    return F.when(F.exists(spans, lambda c: ~c["base"]), free).otherwise(F.filter(spans, lambda c: F.lit(False)))
+
+
 def find_personal(docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, least: float = 0.9) -> DataFrame:
     """keep (all columns if not given) and spans: array of (kind, begin, end, base) by kind as in KINDS, then begin; begin and end in code points, end exclusive.
     Spans beyond the fixed rules need a probability over least and no overlap with one of these.
@@ -205,9 +277,9 @@ def find_personal(docs: DataFrame, *, text: str = "text", keep: list[str] | None
         terms = [(c["kind"] == k).cast("double") for k in range(len(KINDS))] + [c[v].cast("double") for v in VOTES] + [(F.floor(c["shape"] / 2) == k).cast("double") for k in range(3)] + [(c["shape"] % 2).cast("double")]
         return sum((t * F.lit(w) for t, w in zip(terms, weights, strict=True)), F.lit(0.0)) > math.log(least / (1 - least))
 
-    base = F.filter("candidates", lambda c: c["base"])
-    more = F.filter("candidates", lambda c: ~c["base"] & accepted(c) & ~F.exists(base, lambda b: (b["begin"] < c["end"]) & (c["begin"] < b["end"])))
-    ordered = F.array_sort(F.array_distinct(F.transform(F.concat(base, more), lambda c: F.struct(c["kind"].alias("k"), c["begin"].alias("begin"), c["end"].alias("end"), c["base"].alias("base")))))
+    slim = lambda c: F.struct(c["kind"].alias("k"), c["begin"].alias("begin"), c["end"].alias("end"), c["base"].alias("base"))
+    found = found.withColumn("__chosen", F.transform(F.filter("candidates", lambda c: c["base"] | accepted(c)), slim))
+    ordered = F.sort_array(F.concat(F.filter("__chosen", lambda c: c["base"]), apart(F.col("__chosen"))))
     named = F.transform(ordered, lambda c: F.struct(F.element_at(names, c["k"].cast("int") + 1).alias("kind"), c["begin"].alias("begin"), c["end"].alias("end"), c["base"].alias("base")))
     return found.select(*[F.col(f"`{c}`") for c in keep], named.alias("spans"))
 
@@ -220,13 +292,13 @@ def joined(spans: Column) -> Column:
 def redacted(text: str, spans: Column) -> Column:
     """text with each span, or run of overlapping ones, replaced by the first one's kind in angle brackets. Null stays null."""
     t = F.col(f"`{text}`")
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["begin"].alias("b"), s["end"].alias("e"), s["kind"].alias("k"))))
-    built = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.when(s["b"] < a["at"], F.struct(F.greatest(a["at"], s["e"]).alias("at"), a["out"].alias("out"))).otherwise(
-            F.struct(s["e"].alias("at"), F.concat(a["out"], F.substring(t, a["at"].cast("int") + 1, (s["b"] - a["at"]).cast("int")), F.lit("<"), s["k"], F.lit(">")).alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.substring(t, a["at"].cast("int") + 1, F.char_length(t))),
-    )
-    return F.when(F.size(spans) > 0, built).otherwise(t)
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["begin"].alias("b"), s["end"].alias("e"), s["kind"].alias("k"))))
+
+    def built(x: Column) -> Column:
+        reached = running(F.transform(x["spans"], lambda s: s["e"]), zero(), F.greatest)
+        parts = F.zip_with(x["spans"], reached, lambda s, r: F.when(s["b"] < r, "").otherwise(F.concat(cut(x["pieces"], r, s["b"]), F.lit("<"), s["k"], F.lit(">"))))
+        end = F.array_max(F.transform(x["spans"], lambda s: s["e"]))
+        return F.concat(F.array_join(parts, ""), cut(x["pieces"], end, x["n"]))
+
+    whole = F.struct(ordered.alias("spans"), pieces_of(t).alias("pieces"), F.char_length(t).cast("long").alias("n"))
+    return F.when(F.size(spans) > 0, let(whole, built)).otherwise(t)

@@ -193,6 +193,63 @@ def test_classifier_adds_and_redacts(spark):
     assert "@b.org" not in clean[3] and "234" not in clean[3] and "<email>" in clean[3] and clean[101] is None
 
 
+def test_spans_cost_no_more_than_text(spark):
+    rows = [(k, "".join(f"ab{j}@c.de w " for j in range(n))) for k, n in enumerate((50, 16_000, 64_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pii.find_personal(df.where("doc_id = 0")).collect()
+    for k, most in ((1, 8), (2, 16)):
+        begin = time.time()
+        found = pii.find_personal(df.where(f"doc_id = {k}"))
+        (got,) = found.select(F.size("spans").alias("n"), F.md5(pii.redacted("text", F.col("spans"))).alias("t")).collect()
+        n = rows[k][1].count("@")
+        assert (got.n, got.t) == (n, hashlib.md5(b"<email> w " * n).hexdigest()) and time.time() - begin < most
+
+
+def test_cut_and_running(spark):
+    text = "".join(chr(97 + k % 26) if k % 7 else "\U0001f600" for k in range(3000))
+    df = spark.createDataFrame([(text, b, e) for b, e in [(0, 0), (0, 1), (1023, 1025), (1024, 1024), (0, 3000), (2040, 2060), (2999, 3000), (3000, 3000)]], "t string, b long, e long")
+    assert [r.c for r in df.select(pii.cut(pii.pieces_of(F.col("t")), F.col("b"), F.col("e")).alias("c"), "b", "e").collect()] == [text[b:e] for b, e in [(0, 0), (0, 1), (1023, 1025), (1024, 1024), (0, 3000), (2040, 2060), (2999, 3000), (3000, 3000)]]
+    r = random.Random(19)
+    lists = [[], [5], [r.randint(0, 99) for _ in range(127)], [r.randint(0, 99) for _ in range(1000)]]
+    got = spark.createDataFrame([(x,) for x in lists], "v array<long>").select(pii.running(F.col("v"), pii.zero(), lambda a, b: a + b).alias("s"), pii.running(F.col("v"), pii.zero(), F.greatest).alias("m")).collect()
+    for x, row in zip(lists, got, strict=True):
+        assert row.s == [sum(x[:k]) for k in range(len(x))] and row.m == [max(x[:k], default=0) for k in range(len(x))]
+
+
+def test_added_spans_keep_off_base_spans(spark):
+    spans = [(0, 0, 10, True), (1, 5, 8, False), (1, 10, 12, False), (2, 11, 20, False), (2, 30, 40, True), (3, 25, 31, False), (3, 41, 42, False), (1, 20, 30, False)]
+    df = spark.createDataFrame([(spans,), ([],), ([(0, 1, 2, True)],)], "s array<struct<k: tinyint, begin: bigint, end: bigint, base: boolean>>")
+    got = [sorted(tuple(x)[1:3] for x in r[0]) for r in df.select(pii.apart(F.col("s"))).collect()]
+    assert got == [[(10, 12), (11, 20), (20, 30), (41, 42)], [], []]
+
+
+def test_obfuscated_forms_are_candidates(spark):
+    texts = ["server 10[.]20[.]30[.]40 is up", "card 4111.1111.1111.1111 paid", "write ann [at] mail [dot] org", "call (555) 234-5678", "version 1.2.3 of 1000.2000"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [pii.KINDS[c.kind] for c in r.candidates if not c.base and c.format > 0] for r in pii.candidates(df, "text", ["doc_id"]).collect()}
+    assert got == {0: ["ip"], 1: ["card"], 2: ["email"], 3: ["phone"], 4: []}
+
+
+def test_expectation_maximisation_like_the_definition():
+    r = random.Random(29)
+    votes = [(0, *(r.choice([-1, 0, 1]) for _ in range(3))) for _ in range(60)] + [(0, 1, 1, 1)] * 30 + [(0, -1, -1, -1)] * 40
+    counted = [(p, votes.count(p)) for p in sorted(set(votes))]
+    # plainly, span by span: the same start, priors and order of steps
+    belief = [(1 + sum(v > 0 for v in p[1:])) / (2 + sum(v != 0 for v in p[1:])) for p in votes]
+    for _ in range(50):
+        prior = (1 + sum(belief)) / (2 + len(votes))
+        yes = {(j, t): ((18 if t else 2) + sum((b if t else 1 - b) for b, p in zip(belief, votes, strict=True) if p[j] > 0)) / (20 + sum((b if t else 1 - b) for b, p in zip(belief, votes, strict=True) if p[j])) for j in (1, 2, 3) for t in (0, 1)}
+        new = []
+        for p in votes:
+            likely = [(prior if t else 1 - prior) * np.prod([yes[j, t] if p[j] > 0 else 1 - yes[j, t] for j in (1, 2, 3) if p[j]]) for t in (0, 1)]
+            new.append(likely[1] / sum(likely))
+        done, belief = max(abs(a - b) for a, b in zip(new, belief, strict=True)) < 1e-6, new
+        if done:
+            break
+    got = pii.reliabilities(counted)
+    assert [got[p] for p in votes] == pytest.approx(belief, abs=1e-9)
+
+
 def test_expectation_maximisation():
     belief = pii.reliabilities([((0, 1, 1), 80), ((0, -1, -1), 80), ((0, 1, -1), 5), ((0, 1, 0), 3)])
     assert belief[0, 1, 1] > 0.95 > 0.2 > belief[0, -1, -1]
