@@ -3,12 +3,14 @@
 Each task holds shards of whole texts. For a shard it sorts the positions of all words by the words that follow (a suffix array, by
 prefix doubling, resolved as deep as a window is long; texts end in separators that no query has). Every suffix of every benchmark item
 is then found by binary search, which gives all its verbatim occurrences; occurrences that go on along a diagonal are joined, so a match
-of any length is known whole. Nothing is shuffled: the benchmark travels to the texts, in blocks of a checked size.
+of any length is known whole. Nothing is shuffled: the benchmark travels to the texts, in blocks of a checked size. What all tasks need of a block, its words as numbers
+and its suffixes, is made once; a shard first drops the suffixes that have a word, or a pair of words, that it hasn't.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -69,14 +71,22 @@ class Shard:
         self.doc[self.place] = doc
         self.first = first
 
-    def find(self, queries: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Binary search for queries (a row each; n of its word hashes count, n from 1 to depth): the rows whose words are all known
-        here, and for these the run [from, to) of the suffixes that begin so."""
-        used = np.arange(queries.shape[1]) < n[:, None]
-        at = np.searchsorted(self.vocabulary, queries)
-        known = self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == queries if len(self.vocabulary) else np.zeros(queries.shape, bool)
-        rows = np.flatnonzero((known | ~used).all(axis=1))
-        q, n = (at[rows] + 1).astype(np.uint64), n[rows]
+    def find(self, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Binary search for the benchmark's suffixes: those that may occur here, and for these the run [from, to) of the suffixes that begin so."""
+        if not len(self.vocabulary) or not len(bench.vocabulary):
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        at = np.minimum(np.searchsorted(self.vocabulary, bench.vocabulary), len(self.vocabulary) - 1)
+        rank_of = np.where(self.vocabulary[at] == bench.vocabulary, at + 1, 0)
+        words = rank_of[bench.words].astype(np.uint64)
+        strange = np.concatenate([[0], np.cumsum(words == 0)])
+        rows = np.flatnonzero(strange[bench.starts + bench.n] == strange[bench.starts])
+        rows = rows[self.has_pairs(words, bench, rows)]
+        n = bench.n[rows]
+        q = np.zeros((len(rows), self.depth), np.uint64)
+        for j in range(self.depth):
+            inside = j < n
+            q[inside, j] = words[bench.starts[rows[inside]] + j]
         ends = []
         for after in (False, True):
             lo, hi = np.zeros(len(rows), np.int64), np.full(len(rows), len(self.order))
@@ -84,7 +94,7 @@ class Shard:
                 mid = (lo + hi) // 2
                 suffix = self.order[np.minimum(mid, len(self.order) - 1)]
                 less, equal = np.zeros(len(rows), bool), np.ones(len(rows), bool)
-                for j in range(queries.shape[1]):
+                for j in range(self.depth):
                     here = self.ranks[suffix + j]
                     counts = j < n
                     less |= equal & counts & (here < q[:, j])
@@ -94,27 +104,49 @@ class Shard:
             ends.append(lo)
         return rows, *ends
 
-
-def benchmark_suffixes(items: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The first window words of every item's suffixes that are as long, or an item of fewer words whole: hashes, how many, item, place."""
-    data, at = raw(pa.array(items, pa.large_string()))
-    words, first = word_hashes(data, at)
-    rows, ns, owner, place = [], [], [], []
-    for k in range(len(items)):
-        w = words[first[k] : first[k + 1]]
-        for i in range(max(len(w) - window + 1, min(1, len(w)))):
-            rows.append(np.pad(w[i : i + window], (0, max(0, window - len(w[i : i + window])))))
-            ns.append(min(window, len(w)))
-            owner.append(k)
-            place.append(i)
-    return np.array(rows, np.uint64).reshape(-1, window), np.array(ns, np.int64), np.array(owner, np.int64), np.array(place, np.int64)
-
-
-def matcher(ids: list, items: list[str], window: int, most: int = MOST_HITS):
+    def has_pairs(self, words: np.ndarray, bench: Benchmark, rows: np.ndarray) -> np.ndarray:
+        """Whether each suffix's first and last pair of words occur here."""
+        if not len(rows):
+            return np.zeros(0, bool)
+        pairs = np.unique(self.ranks[:-1] << np.uint64(32) | self.ranks[1:])
+        fine = np.ones(len(rows), bool)
+        several = bench.n[rows] > 1
+        for last in (False, True):
+            p = (bench.starts[rows] + (bench.n[rows] - 2 if last else 0))[several]
+            wanted = words[p] << np.uint64(32) | words[p + 1]
+            fine[several] &= pairs[np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)] == wanted
+        return fine
+
+
+@dataclass
+class Benchmark:
+    """A block of items as the tasks need it: the words of all items as numbers of a vocabulary of hashes, and of each suffix (of window words, or a shorter item whole) where
+    it starts, how many words count, whose it is, and its place in the item."""
+
+    names: np.ndarray
+    vocabulary: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    n: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+
+    @staticmethod
+    def of(ids: list, items: list[str], window: int) -> Benchmark:
+        words, first = word_hashes(*raw(pa.array(items, pa.large_string())))
+        vocabulary, numbers = np.unique(words, return_inverse=True)
+        count = np.diff(first)
+        suffixes = np.maximum(count - window + 1, np.minimum(count, 1))
+        owner = np.repeat(np.arange(len(items)), suffixes)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(suffixes) - suffixes, suffixes)
+        names = np.array([None if x is None else str(x) for x in ids], object)
+        return Benchmark(names, vocabulary, numbers.astype(np.int32), first[owner] + place, np.minimum(count[owner], window), owner, place)
+
+
+def matcher(bench: Benchmark, window: int, most: int = MOST_HITS):
     """A function from an Arrow array of texts to their word counts and maximal verbatim matches. Only so many occurrences are held at a time: in
     texts of one repeated word a match may come in parts, which cover the same words."""
-    queries, n, owner, place = benchmark_suffixes(items, window)
-    names = np.array([None if x is None else str(x) for x in ids], object)
+    n, owner, place, names = bench.n, bench.owner, bench.place, bench.names
 
     def join(shard: Shard, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray, found: list[list]) -> None:
         """Adds all occurrences of these suffixes to found; those that follow one another on a diagonal of item and text are one match."""
@@ -137,9 +169,9 @@ def matcher(ids: list, items: list[str], window: int, most: int = MOST_HITS):
         words, first = word_hashes(data, at)
         counts = np.diff(first)
         found: list[list] = [[] for _ in range(len(texts))]
-        if len(queries) and len(words):
+        if len(n) and len(words):
             shard = Shard(words, first, window)
-            rows, lo, hi = shard.find(queries, n)
+            rows, lo, hi = shard.find(bench)
             some = hi > lo
             rows, lo, hi = rows[some], lo[some], hi[some]
             up_to, begin = np.cumsum(hi - lo), 0
@@ -152,16 +184,18 @@ def matcher(ids: list, items: list[str], window: int, most: int = MOST_HITS):
     return search
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK_BYTES) -> list[tuple[list, list[str]]]:
-    """The benchmark's items with words, in blocks of at most about so many bytes of text each."""
+def blocks_of(benchmark: DataFrame, item_id: str, text: str, most: int = BLOCK_BYTES) -> tuple[int, Iterator[tuple[list, list[str]]]]:
+    """How many blocks of at most about so many bytes of text the benchmark's items make, and these one after another: the driver holds one at a time."""
     items = benchmark.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").cast("string").alias("t")).where("t is not null").distinct()
     total = items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0
     n = int(-(-total // most)) or 1
-    out = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect() if n > 1 else items.collect()
-        out.append(([r[0] for r in rows], [r[1] for r in rows]))
-    return out
+
+    def blocks():
+        for k in range(n):
+            rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect() if n > 1 else items.collect()
+            yield [r[0] for r in rows], [r[1] for r in rows]
+
+    return n, blocks()
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = 8, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -174,15 +208,15 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", i
     names = {f.name for f in FIELDS}
     carry = [c for c in (docs.columns if keep is None else keep) if c not in names]
     out = docs.withColumn("__searched", F.col(f"`{text}`").cast("string"))
-    blocks = blocks_of(benchmark, item_id, item_text, block_bytes)
+    n, blocks = blocks_of(benchmark, item_id, item_text, block_bytes)
     for k, block in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark.of(*block, window))
 
         def make(shared=shared):
-            return matcher(*shared.value, window)
+            return matcher(shared.value, window)
 
         out = out.withColumnRenamed("matches", "__matches") if k else out
-        more = ["__searched"] * (k + 1 < len(blocks)) + ["__matches"] * (k > 0)
+        more = ["__searched"] * (k + 1 < n) + ["__matches"] * (k > 0)
         out = map_texts(out, "__searched", [*carry, *more], FIELDS, make)
         if k:
             out = out.withColumn("matches", F.concat("__matches", "matches")).drop("__matches")
@@ -210,8 +244,3 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, min_items: int = 1,
     found = find_matches(marked.select("__row", F.col(f"`{text}`").alias("__searched")), benchmark, text="__searched", keep=["__row"], **options)
     kept = found.where(F.size(F.array_distinct(F.filter(F.col("matches")["item"], lambda i: i.isNotNull()))) < min_items)
     return kept.select(*[F.col("__row")[c].alias(c) for c in cols])
-
-
-def items_digest(items: list[str]) -> str:
-    """As the query's SQL has it; for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
