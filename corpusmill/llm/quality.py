@@ -125,8 +125,9 @@ def resample(docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: st
         return weigh
 
     weighed = map_texts(marked, TEXT, [*dict.fromkeys([*keep, id]), "__held"], [T.StructField("log_weight", T.DoubleType())], make)
-    weighed = weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col(f"`{id}`"), seed))
-    narrow = stash(weighed.select("log_weight", "gumbel_key", "__held"), "weights")
+    # written with what is kept, so that no text is read a third time
+    weighed = stash(weighed.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col(f"`{id}`"), seed)), "weights")
+    narrow = weighed.select("log_weight", "gumbel_key", "__held")
     total = narrow.count()
     if k is None:
         cut = calibrated_cut([(r[0], bool(r[1])) for r in narrow.where("__held IS NOT NULL").select("log_weight", "__held").collect()])

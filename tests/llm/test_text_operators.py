@@ -1,10 +1,12 @@
 """Token counts, packing, decontamination, quality: against brute force, on odd inputs."""
 
+import itertools
+import math
 import random
 import re
 import time
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +214,35 @@ def test_quality_keeps_good_and_rejects_junk(spark):
     assert Q.resample(docs, labels.where("false")).where("kept").count() == 404
 
 
+def plain_grams(t):
+    """Words, and runs of other printable characters, alone and in pairs, by the definition."""
+    kind = lambda b: 1 if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 2 if b > 32 and b != 127 else 0
+    runs = []
+    for k, g in itertools.groupby((t or "").encode(), kind):
+        if k:
+            runs.append(bytes(g))
+    return runs, list(zip(runs, runs[1:]))
+
+
+def test_weights_like_plain_counts(spark):
+    r = random.Random(16)
+    say = lambda words: " ".join(r.choice(words) for _ in range(r.randint(1, 25)))
+    docs = [(k, say("the cat sat on a mat. Then, it: ran".split() if k % 3 else "BUY now!! $$$ cheap the".split())) for k in range(90)] + [(100, None), (101, "")]
+    labels = [(k, int(k % 3 > 0), 0) for k in range(0, 90, 2)]
+    got = {x.doc_id: x.log_weight for x in Q.resample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    fits = {x[0] for x in spark.createDataFrame(labels, "doc_id long, quality int, toxic int").where("quality = 1").where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0).select("doc_id").collect()}
+    assert 5 < len(fits) < 25
+    every, chosen = Counter(), Counter()
+    for d, t in docs:
+        grams = [x for part in plain_grams(t) for x in part]
+        every.update(grams)
+        chosen.update(grams if d in fits else [])
+    share = sum(chosen.values()) / sum(every.values())
+    for d, t in docs:
+        want = sum(math.log((chosen[g] + Q.SMOOTHING) / (every[g] * share + Q.SMOOTHING)) for part in plain_grams(t) for g in part)
+        assert got[d] == pytest.approx(want, abs=1e-6), (d, t)
+
+
 def test_top_k_is_exact(spark):
     rows = [(k, "word " * (k % 7)) for k in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
