@@ -56,7 +56,16 @@ def stash(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, so a lost executor costs nothing computed before."""
     path = fresh_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def forget(*stashed: DataFrame) -> None:
+    """Deletes tables that stash() wrote, once nothing reads them any more. Other DataFrames are left alone."""
+    for df in stashed:
+        if path := getattr(df, "_stashed_at", None):
+            delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
