@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tables import fresh_path, ship, spread, stash
+from ..tables import forget, fresh_path, ship, spread, stash
 from ..tables import table as read_table
 
-__all__ = ["SLICE_BYTES", "TEXT", "explode_texts", "fresh_path", "map_texts", "raw", "settle", "slices", "stash", "table"]
+__all__ = ["SLICE_BYTES", "TEXT", "explode_texts", "forget", "fresh_path", "map_texts", "raw", "settle", "slices", "stash", "table"]
 TEXT = "__text"
-#: Texts are handled in slices of at most so many bytes (one longer text is a slice of its own).
-SLICE_BYTES = 1 << 20
+#: Texts are handled in slices of at most so many bytes (one longer text is a slice of its own) and rows, whatever the session's batches hold.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 1_024
 
 
 def settle(spark: SparkSession) -> SparkSession:
@@ -46,7 +46,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]
     _, at = raw(texts)
     begin = 0
     while begin < len(texts):
-        end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
+        end = min(begin + SLICE_ROWS, max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1))
         yield begin, end
         begin = end
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import forget, stash
 
 #: A table of ids of at most so many rows (16 bytes each) may be broadcast; a larger one is joined by exchange.
 BROADCAST_ROWS = 1_000_000
@@ -33,8 +33,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         after = stash(floor.select("u", F.col("m").alias("v")).union(rest).distinct(), "edges")
         # stars only: no centre is itself a leaf, and each leaf has one centre
         if not after.groupBy("u").count().where("count > 1").limit(1).count() and not after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count():
+            forget(current, lowest, large, floor)
             current = after
             break
+        forget(current, lowest, large, floor)
         current = after
     else:
         raise RuntimeError(f"components: no stars after {rounds} rounds")
@@ -42,9 +44,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def without(docs: DataFrame, classes: DataFrame, id: str) -> DataFrame:
-    """docs without the rows whose class (id, class_id) is named by another id; of rows that share an id, and a place in their class, one stays.
+    """docs without the rows whose class (id, class_id) is named by another id; of rows that share an id, and a place in their class, one stays: that of the least values, column by
+    column (maps don't count).
 
-    Rows without an id stay. What goes is a narrow table of ids: it is broadcast if it is counted to be small, and documents are not exchanged.
+    Rows without an id stay, copies of each other too: a class can't name them. What goes is a narrow table of ids: it is broadcast if it is counted to be small, and documents are not exchanged.
     """
     gone = stash(classes.where("id IS NOT NULL AND class_id IS NOT NULL AND id <> class_id").select("id").distinct(), "gone")
     twice = stash(classes.where("id IS NOT NULL AND id = class_id").groupBy("id").count().where("count > 1").select("id"), "twice")
@@ -53,4 +56,7 @@ def without(docs: DataFrame, classes: DataFrame, id: str) -> DataFrame:
         return left
     again = sized(twice.withColumnRenamed("id", "__twice"))
     same = F.col(f"`{id}`") == F.col("__twice")
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id]))
+    several = left.join(again, same, "left_semi")
+    order = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"]
+    first = several.withColumn("__rank", F.row_number().over(Window.partitionBy(f"`{id}`").orderBy(*order))).where(F.col("__rank") == 1).drop("__rank")
+    return left.join(again, same, "left_anti").unionByName(first)

@@ -3,10 +3,12 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -298,11 +300,74 @@ def copies(seed, n):
     return out
 
 
+def plain_shingles(t):
+    words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()))
+    return Counter(tuple(words[k : k + 5]) for k in range(max(len(words) - 4, min(1, len(words)))))
+
+
+def plain_similarity(a, b):
+    """Probability Jaccard by its definition, over weights 1 + ln(count)."""
+    w = [{k: 1 + math.log(n) for k, n in x.items()} for x in (a, b)]
+    total = 0.0
+    for i in w[0].keys() & w[1].keys():
+        total += 1 / sum(max(w[0].get(j, 0) / w[0][i], w[1].get(j, 0) / w[1][i]) for j in w[0].keys() | w[1].keys())
+    return total
+
+
+def plain_classes(docs, threshold=0.8):
+    """The class of each document, by comparing all pairs (those whose sizes rule a link out are left aside)."""
+    parent = {d: d for d, _ in docs}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    bags = [(d, plain_shingles(t)) for d, t in docs]
+    for i, (a, x) in enumerate(bags):
+        for b, y in bags[:i]:
+            few = len(x.keys() & y.keys())
+            if few and root(a) != root(b) and (x == y or few > 0.4 * max(len(x), len(y))) and plain_similarity(x, y) >= threshold - 1e-12:
+                p, q = sorted((root(a), root(b)))
+                parent[q] = p
+    return {d: root(d) for d, _ in docs}
+
+
+def boilerplate(seed, n, own=25, shared=150):
+    """Texts that share most of their words, some with a near copy."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    common = " ".join(word() for _ in range(shared))
+    out = []
+    for k in range(n):
+        mine = [word() for _ in range(own)] if k % 10 else [*out[-1][1].split()[:own][:-1], word()] if out else [word() for _ in range(own)]
+        out.append((k, " ".join(mine) + " " + common))
+    return out
+
+
+@pytest.mark.parametrize("common", [4, M.COMMON])
+def test_shared_boilerplate_like_brute_force(spark, common, monkeypatch):
+    monkeypatch.setattr(M, "COMMON", common)
+    monkeypatch.setattr(M.rare_pairs, "__defaults__", (common,))
+    docs = [*boilerplate(21, 60), *[(d + 1000, t) for d, t in boilerplate(22, 40, 12, 160)], *[(d + 2000, t) for d, t in boilerplate(23, 30, 40, 60)]]
+    got = {r.id: r.class_id for r in M.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == plain_classes(docs)
+
+
+def test_pairs_grow_with_documents(spark):
+    looked = []
+    for n in (600, 2400):
+        report = {}
+        M.near_duplicates(spark.createDataFrame(boilerplate(24, n), "doc_id long, text string"), report=report)
+        looked.append(sum(report.values()))
+    assert looked[1] / looked[0] < 4**1.2, looked
+
+
 def test_classes_like_brute_force(spark):
     docs = [*copies(11, 160), (500, None), (501, ""), (502, "..."), (503, "a b"), (504, "A, b!"), (505, "a c"), (3, dict(copies(11, 160))[3])]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("class_id", F.lit(1)).withColumn("n", F.lit(1))
     got = {r.id: r.class_id for r in M.near_duplicates(df).collect()}
-    assert got == M.brute_force(list(dict(docs).items()))
+    assert got == plain_classes(list(dict(docs).items()))
     assert M.near_duplicates(df).count() == len(docs)
     assert M.near_duplicates(df.where("false")).count() == 0
     none = spark.createDataFrame([(None, "a b c d e f g"), (4, "a b c d e f g"), (None, "else where")], "doc_id long, text string")
@@ -600,7 +665,7 @@ def test_pipeline(spark, sf, tmp_path):
             good = [d for d, x in labels.items() if x.quality == 1 and x.toxic == 0]
             assert np.mean([d in kept[name] for d in good]) > 0.95
         elif name == "minhash_near_dedup":
-            assert kept[name].keys() == {d for d, c in M.brute_force(sorted(texts.items())).items() if d == c}
+            assert kept[name].keys() == {d for d, c in plain_classes(sorted(texts.items())).items() if d == c}
         elif name == "pii":
             assert not any(plain_spans(r.text) for r in kept[name].values())
             assert all(r.n_chars == len(r.text) for r in kept[name].values()) and kept[name].keys() == texts.keys()
