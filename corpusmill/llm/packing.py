@@ -122,7 +122,7 @@ def place(cut: DataFrame, *, order: list[str], size: int = 2048) -> DataFrame:
     for n in range(1, size + 1):
         first[n + 1] = first[n] + salts.get(n, 0)
     salt_of = spark.createDataFrame(list(salts.items()), "length long, __salts long")
-    salted = cut.join(F.broadcast(salt_of), "length").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order], "piece", "start"), "__salts")).drop("__salts")
+    salted = cut.join(F.broadcast(salt_of), "length").withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order], "piece", "start", *([] if "ids_crc32" not in cut.columns else ["ids_crc32"])), "__salts")).drop("__salts")
     before = np.zeros(first[-1], np.int64)
     for n, s, c in salted.groupBy("length", "__salt").count().collect():
         before[first[n] + s] = c

@@ -61,9 +61,9 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_group_key(text: str, row: str) -> Column:
-    """Equal texts side by side in the order of keys (the upper 40 bits), each row apart (the lower 24)."""
+    """Equal texts side by side in the order of keys (the upper 40 bits; null is an empty text), each row apart (the lower 24)."""
     low = F.lit((1 << 24) - 1)
-    return F.xxhash64(F.col(text)).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.xxhash64(F.col(row)).bitwiseAND(low))
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).bitwiseAND(F.bitwise_not(low)).bitwiseOR(F.xxhash64(F.col(row)).bitwiseAND(low))
 
 
 def op6_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
