@@ -149,7 +149,9 @@ class Model:
 
     def score(self, rows: DataFrame, url: str) -> DataFrame:
         """rows (with host and path) and score, the margin for block."""
-        return self.looked_up(rows).withColumn("score", self.margin(self.features(url))).drop(*[f"__share{k}" for k in SUFFIXES])
+        # each feature is worked out once, as an element of one column, and not at each split that asks for it
+        valued = self.looked_up(rows).withColumn("__x", F.array(*[c.cast("double") for c in self.features(url).values()]))
+        return valued.withColumn("score", self.margin({name: F.col("__x")[k] for k, name in enumerate(self.names)})).drop("__x", *[f"__share{k}" for k in SUFFIXES])
 
 
 def suffix_statistics(rows: DataFrame, labels: int, prior: float, weight: float = SUFFIX_WEIGHT) -> DataFrame:
