@@ -108,10 +108,10 @@ def split(x: np.ndarray, branches: int, rng: np.random.Generator, rounds: int =
     if len(centres) < 2:
         return None
     centres = centres[rng.choice(len(centres), min(branches, len(centres)), replace=False)]
-    for _ in range(rounds):
-        own = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
-        keep = np.unique(own)
-        centres = np.array([x[own == k].mean(axis=0) for k in keep])
+    for _ in range(rounds if len(x) > 2 * REGION_ROWS else 3):  # small parts settle soon
+        member = np.eye(len(centres))[((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)]
+        n = member.sum(axis=0)
+        centres = (member.T @ x)[n > 0] / n[n > 0, None]
     own = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
     keep = np.unique(own)
     return None if len(keep) < 2 else [(np.flatnonzero(own == k), centres[k]) for k in keep]
@@ -142,13 +142,18 @@ def top(rough: np.ndarray, queries: np.ndarray, x: np.ndarray, ids: np.ndarray,
         near = np.ones(rough.shape, bool)
     near &= rough > -np.inf
     out_q, out_r, out_s = [], [], []
-    for i in range(len(queries)):
-        r = np.flatnonzero(near[i])
-        score = (x[r] * queries[i]).sum(axis=1)
-        o = np.lexsort((rows[r], ids[r], -score))[:k]
-        out_q.append(np.full(len(o), i))
-        out_r.append(r[o])
-        out_s.append(score[o])
+    up_to, begin = np.cumsum(near.sum(axis=1)), 0
+    while begin < len(queries):  # a run of queries with so many near rows, or one query
+        end = max(begin + 1, int(np.searchsorted(up_to, (up_to[begin - 1] if begin else 0) + (1 << 16), "right")))
+        i, r = np.nonzero(near[begin:end])
+        score = (x[r] * queries[begin + i]).sum(axis=1)
+        o = np.lexsort((rows[r], ids[r], -score, i))
+        i, r, score = i[o], r[o], score[o]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out_q.append(begin + i[first])
+        out_r.append(r[first])
+        out_s.append(score[first])
+        begin = end
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return join(out_q, np.int64), join(out_r, np.int64), join(out_s, np.float64)
 
