@@ -53,17 +53,18 @@ def passes(profile: Profile, line: Column) -> Column:
     return ok
 
 
-def normalized_lines(docs: DataFrame, profile: Profile, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, pos, raw, line (normalized, none empty). NFKC runs once for each document: it never crosses a line boundary.
+def normalized_lines(docs: DataFrame, profile: Profile, id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """id, the columns keep of docs, pos, raw, line (normalized, none empty). NFKC runs once for each document: it never crosses a line boundary.
 
     Lines are normalized before they are taken apart, so what follows reads a column and doesn't work it out again for each rule.
     """
-    src = docs.select(id, (X.nfkc(F.col(text)) if profile.compatibility and not profile.on_raw else F.col(text)).alias("__text"))
+    id = [id, *(keep or [])]
+    src = docs.select(*id, (X.nfkc(F.col(text)) if profile.compatibility and not profile.on_raw else F.col(text)).alias("__text"))
     if profile.on_raw and profile.compatibility:
-        found = document_lines(src, id, "__text").select(id, "pos", "raw", X.normalized(F.col("raw")).alias("line"))
+        found = src.select(*id, F.posexplode(X.lines(F.col("__text"))).alias("pos", "raw")).select(*id, "pos", "raw", X.normalized(F.col("raw")).alias("line"))
         return found.where("line <> ''")
     both = F.transform(X.lines(F.col("__text")), lambda x: F.struct(x.alias("raw"), X.normalized(x, compatibility=False).alias("line")))
-    return src.select(id, F.posexplode(both).alias("pos", "l")).select(id, "pos", "l.raw", "l.line").where("line <> ''")
+    return src.select(*id, F.posexplode(both).alias("pos", "l")).select(*id, "pos", "l.raw", "l.line").where("line <> ''")
 
 
 def verdicts(lines: DataFrame, blocked: DataFrame | None, profile: Profile, *, order: list[str], order_of_tests: str = "quality,eval,duplicate", name: str = "eval") -> DataFrame:

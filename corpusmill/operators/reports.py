@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .ordering import numbered
+from ..tables import stash
 
 
 def length_ranks(rows: DataFrame, length: str, by: list[str], ranks: dict[str, Column]) -> DataFrame:
@@ -20,13 +20,15 @@ def length_ranks(rows: DataFrame, length: str, by: list[str], ranks: dict[str, C
     return summed.groupBy(*by).agg(*at)
 
 
-def text_profile(texts: DataFrame, text: str, by: list[str], script: str = "arabic") -> DataFrame:
+def text_profile(texts: DataFrame, text: str, by: list[str], script: str = "arabic", normalize: bool = False) -> DataFrame:
     """For each group of texts (none empty): lines, length figures, characters of a script, words, distinct words, repeated texts, broken UTF-8, odd white space.
 
-    Medians are the element at half the count of the sorted lengths, p90 that at nine tenths. Groups without texts have no row.
+    Medians are the element at half the count of the sorted lengths, p90 that at nine tenths. Groups without texts have no row; without groups (by empty) no texts give a row
+    of lines 0 and nothing else. normalize: texts are normalized first. They are written once, as they are counted, so that no aggregate works them out again.
     """
     given, by = by, by or ["__all"]
-    src = (texts if given else texts.withColumn("__all", F.lit(0))).select(*by, F.col(text).alias("t")).where("t <> ''").select("*", F.char_length("t").cast("long").alias("n_chars"))
+    src = (texts if given else texts.withColumn("__all", F.lit(0))).select(*by, (X.normalized(F.col(text)) if normalize else F.col(text)).alias("t")).where("t <> ''").select("*", F.char_length("t").cast("long").alias("n_chars"))
+    src = stash(src, "profile")
     whole = src.groupBy(*by).agg(
         F.count("*").alias("lines"),
         F.sum("n_chars").alias("chars"),
@@ -45,7 +47,7 @@ def text_profile(texts: DataFrame, text: str, by: list[str], script: str = "arab
     out = whole
     for other in (distinct_words, distinct_texts, lengths):
         out = out.join(other, by, "left")
-    return out.select(
+    made = out.select(
         *given,
         "lines",
         X.safe_divide(F.col("chars"), F.col("lines")).alias("mean_len"),
@@ -63,6 +65,10 @@ def text_profile(texts: DataFrame, text: str, by: list[str], script: str = "arab
         "invalid_utf8",
         "whitespace_anomalies",
     )
+    if given or src.limit(1).count():
+        return made
+    nothing = src.sparkSession.createDataFrame([(0,)], "lines long")
+    return nothing.select(*[F.col("lines") if f.name == "lines" else F.lit(None).cast(f.dataType).alias(f.name) for f in made.schema])
 
 
 def verdict_of(profile: DataFrame) -> DataFrame:
@@ -99,9 +105,9 @@ def change_totals(texts: DataFrame, text: str) -> DataFrame:
 
 def not_idempotent(texts: DataFrame, text: str, order: list[str], first: int) -> DataFrame:
     """Of the first so many texts that aren't blank: how many were checked, how many normalizing alters, and the beginning of the first such."""
-    src = numbered(texts.where(X.strip(F.col(text)) != ""), order, "__n").where(F.col("__n") <= first)
-    off = X.normalized(F.col(text)) != F.col(text)
-    return src.agg(F.count("*").alias("checked"), F.count_if(off).alias("mismatches"), F.min_by(F.when(off, X.head(F.col(text), 80)), F.when(off, F.col("__n"))).alias("example"))
+    src = texts.where(X.strip(F.col(text)) != "").select(*order, F.col(text).alias("__text")).orderBy(*order).limit(first)
+    off = X.normalized(F.col("__text")) != F.col("__text")
+    return src.agg(F.count("*").alias("checked"), F.count_if(off).alias("mismatches"), F.min_by(F.when(off, X.head(F.col("__text"), 80)), F.when(off, F.struct(*order))).alias("example"))
 
 
 def shard_manifest(rows: DataFrame, line: str, order: list[str], by: str = "shard") -> DataFrame:

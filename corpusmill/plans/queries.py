@@ -26,8 +26,8 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents"))
 
 
-def lines(spark: SparkSession, sf: str) -> DataFrame:
-    return C.normalized_lines(docs(spark, sf), LINES)
+def lines(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    return C.normalized_lines(docs(spark, sf), LINES, keep=list(keep))
 
 
 def eval_lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,8 +37,8 @@ def eval_lines(spark: SparkSession, sf: str) -> DataFrame:
     return C.digests(some.unionByName(bench))
 
 
-def judged(spark: SparkSession, sf: str) -> DataFrame:
-    return C.verdicts(lines(spark, sf), eval_lines(spark, sf), LINES, order=["doc_id", "pos"])
+def judged(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    return C.verdicts(lines(spark, sf, *keep), eval_lines(spark, sf), LINES, order=["doc_id", "pos"])
 
 
 def narrow(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,7 +175,7 @@ def duplicate_rate_by_source(spark, sf):
 
 
 def cross_category_dedup(spark, sf):
-    src = lines(spark, sf).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    src = lines(spark, sf, "lang")
     place = F.when(F.col("lang") == "fr", 0).when(F.col("lang") == "en", 1).otherwise(2)
     kept = C.first_of_each(src.withColumn("place", place), X.digest(F.col("line")), ["place", "doc_id", "pos"])
     return kept.groupBy("lang").agg(F.count("*").alias("n"))
@@ -223,8 +223,7 @@ def verdict_counters(spark, sf):
 
 
 def verdict_counters_by_source(spark, sf):
-    j = judged(spark, sf).join(docs(spark, sf).select("doc_id", "source"), "doc_id")
-    return C.counters(j, "source")
+    return C.counters(judged(spark, sf, "source"), "source")
 
 
 def accept_until_target_exact(spark, sf):
@@ -251,6 +250,14 @@ def heldout_build(spark, sf):
     return counted(j, ["accepted", "duplicate", "train_overlap"])
 
 
+def heldout_build_limited(spark, sf):
+    """As heldout_build, up to the 200th accepted chunk: what comes after it isn't counted."""
+    held = docs(spark, sf).where("doc_id % 10 = 0").select("doc_id", F.posexplode(P.chunks(X.normalized(F.col("text")))).alias("pos", "line")).withColumn("raw", F.col("line"))
+    train = C.digests(docs(spark, sf).where("doc_id % 10 <> 0").select(F.explode(P.chunks(X.normalized(F.col("text")))).alias("line")))
+    j = C.verdicts(held, train, C.DOCUMENTS, order=["doc_id", "pos"], name="train_overlap").select("doc_id", "pos", "verdict")
+    return counted(C.until(stash(j, "verdicts"), 200, order=["doc_id", "pos"]), ["accepted", "duplicate", "train_overlap"])
+
+
 def first_of_category(spark, sf):
     d = docs(spark, sf)
     return d.where("lang = 'de'").select("doc_id", "lang").orderBy("doc_id").limit(25).unionByName(d.where("lang = 'es'").select("doc_id", "lang").orderBy("doc_id").limit(25))
@@ -276,7 +283,7 @@ def tail_lines(spark, sf):
 
 
 def proportional_sample(spark, sf):
-    src = lines(spark, sf).join(docs(spark, sf).select("doc_id", "lang"), "doc_id")
+    src = lines(spark, sf, "lang")
     return P.sample_by_share(stash(src.select("doc_id", "pos", "lang", "line"), "lines"), 300_000, "lang", ["doc_id", "pos"]).groupBy("lang").agg(F.count("*").alias("n"), F.sum(P.line_bytes(F.col("line"))).alias("bytes"))
 
 
@@ -309,7 +316,7 @@ def token_stream_windows(spark, sf):
 
 
 def text_profile_by_lang(spark, sf):
-    return R.text_profile(lines(spark, sf).join(docs(spark, sf).select("doc_id", "lang"), "doc_id"), "line", ["lang"], "latin")
+    return R.text_profile(lines(spark, sf, "lang"), "line", ["lang"], "latin")
 
 
 def profile_status(spark, sf):

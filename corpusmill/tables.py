@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ship(spark: SparkSession) -> SparkSession:
@@ -68,6 +69,22 @@ def forget(*stashed: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+#: A table of at most so many rows may be broadcast, if its rows are narrow; a larger one is joined by exchange.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df (narrow, best a written table), marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def file_size(spark: SparkSession, path: str) -> int | None:
+    """Bytes of a file, None if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getFileStatus(p).getLen() if fs.exists(p) else None
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

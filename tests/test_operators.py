@@ -97,7 +97,11 @@ def test_profile(spark):
     assert (r.min_len, r.p50_len, r.p90_len, r.max_len, r.duplicate_lines) == (50, 100, 200, 200, 0)
     two = R.text_profile(spark.createDataFrame([("same",), ("same",)], "t string"), "t", []).first()
     assert (two.duplicate_lines, two.duplicate_rate) == (1, 0.5)
-    assert R.text_profile(df.where("false"), "t", []).count() == 0
+    (none,) = R.text_profile(df.where("false"), "t", []).collect()
+    assert none.lines == 0 and none.chars is None and none.duplicate_rate is None
+    assert R.text_profile(df.where("false").withColumn("g", F.lit(1)), "t", ["g"]).count() == 0
+    spaced = spark.createDataFrame([("a  b",), ("a b",), ("  ",)], "t string")
+    assert [R.text_profile(spaced, "t", [], normalize=n).first().duplicate_lines for n in (False, True)] == [0, 1]
 
 
 def test_balance_and_contamination(spark):
