@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..tables import sized
 
 # Policy lists.
 REQUIRED = ["source_id", "language", "role", "license", "provenance", "status"]
@@ -172,9 +173,9 @@ def taxonomy_size(taxonomy: DataFrame) -> DataFrame:
 
 def record_gate(records: DataFrame, taxonomy: DataFrame, registry: DataFrame, number: str = "line_no") -> DataFrame:
     """Problems of pilot records: fields, flags, ids, digests, and what taxonomy and registry say of them. Of sources that share an id the registry's last counts."""
-    places = F.broadcast(subdomains(taxonomy).select("domain", "subdomain", F.col("languages").alias("__languages")).dropDuplicates(["domain", "subdomain"]))
+    places = sized(subdomains(taxonomy).select("domain", "subdomain", F.col("languages").alias("__languages")).dropDuplicates(["domain", "subdomain"]))
     sources = registry.where(F.col("source_id").isNotNull()).groupBy("source_id").agg(F.max_by("license", number).alias("__license"), F.lit(True).alias("__known"))
-    rows = records.join(places, ["domain", "subdomain"], "left").join(F.broadcast(sources), "source_id", "left")
+    rows = records.join(places, ["domain", "subdomain"], "left").join(sized(sources), "source_id", "left")
     hex_ok = X.is_hex_digest(F.col("text_sha256"))
     rows = rows.withColumn("__id_again", not_first("record_id", [number])).withColumn("__sha_again", not_first("text_sha256", [number]) & hex_ok)
     text, chars, known = F.col("text"), F.col("text_chars"), F.coalesce("__known", F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..tables import sized
 
 TEXT_COLUMNS = ["text", "content", "document"]
 
@@ -81,7 +82,7 @@ def binary_ids(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import Window
 
     before = sizes.select("path", (F.sum("n").over(Window.orderBy("path")) - F.col("n")).alias("before"))  # a row for each file
-    return ids.join(F.broadcast(before), "path").select((F.col("before") + F.col("at")).alias("pos"), "token_id")
+    return ids.join(sized(before), "path").select((F.col("before") + F.col("at")).alias("pos"), "token_id")
 
 
 def line_digests(lines: DataFrame, column: str = "value", limit: int | None = None, order: list[str] | None = None) -> DataFrame:

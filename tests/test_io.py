@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import corpus as C
 from corpusmill.operators import tokens as K
+from corpusmill.operators import validation as V
 from corpusmill.sources import readers as S
 from corpusmill.sources import writers as W
 from corpusmill.streaming.ingest import ingest
@@ -63,9 +65,14 @@ def test_writers(spark, tmp_path):
     W.write_json(spark, str(tmp_path / "m.json"), rows.agg(F.count("*").alias("n")))
     assert json.loads((tmp_path / "m.json").read_text()) == {"n": 8}
     W.replace_folder(spark, rows, str(tmp_path / "t"))
+    W.write_json(spark, str(tmp_path / "m.json"), {"n": 9})
+    assert json.loads((tmp_path / "m.json").read_text()) == {"n": 9} and not (tmp_path / "m.json.tmp").exists()
+    # a run that stopped between its two moves left the old folder aside
+    (tmp_path / "t").rename(tmp_path / "t.old")
     W.replace_folder(spark, rows.limit(2), str(tmp_path / "t"))
+    assert not (tmp_path / "t.old").exists()
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
-    with W.single_writer(str(tmp_path / "lock")), pytest.raises(FileExistsError), W.single_writer(str(tmp_path / "lock")):
+    with W.single_writer(spark, str(tmp_path / "lock")), pytest.raises(FileExistsError), W.single_writer(spark, str(tmp_path / "lock")):
         pass
     assert not (tmp_path / "lock").exists()
 
@@ -98,3 +105,65 @@ def test_tokens(spark):
     assert [r.pos for r in stream] == list(range(len(stream))) and len(stream) == 3
     a = K.artifact(spark, path).first()
     assert a.model == "BPE" and (a.entries, a.added) == (50_256, 1)
+
+
+def test_upsert_keeps_other_lines(spark, tmp_path):
+    path = str(tmp_path / "registry.jsonl")
+    W.upsert_lines(spark, path, [{"source_id": "a", "n": 1}, {"source_id": "b", "n": 1}], "source_id")
+    with open(path, "a") as f:
+        f.write('{"source_id":"arz",   "odd": "é"}\nnot json\n')
+    W.upsert_lines(spark, path, [{"source_id": "b", "n": 2}, {"source_id": "c", "n": 3}], "source_id")
+    assert (tmp_path / "registry.jsonl").read_text().splitlines() == ['{"source_id": "a", "n": 1}', '{"source_id": "b", "n": 2}', '{"source_id":"arz",   "odd": "é"}', "not json", '{"source_id": "c", "n": 3}']
+
+
+def corpus_files(tmp_path):
+    texts = tmp_path / "texts"
+    texts.mkdir()
+    parts = {"ar": "سطر أول\nسطر\n".encode(), "arz": b"one\ntwo\nthree\n"}
+    for name, data in parts.items():
+        (texts / f"{name}.txt").write_bytes(data)
+    whole = b"".join(parts.values())
+    (tmp_path / "corpus.txt").write_bytes(whole)
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    counts = {n: {"target": 5, "bytes": len(d), "accepted": d.count(b"\n"), "sha256": sha(d)} for n, d in parts.items()}
+    return {"version": 1, "normalizer": "n", "counts": counts | {"en": {"target": 0, "sha256": None}}, "corpus": {"bytes": len(whole), "sha256": sha(whole)}}, str(tmp_path / "corpus.txt"), str(texts)
+
+
+@pytest.mark.parametrize("cell", [V.CELL_BYTES, 3])
+def test_file_facts(spark, tmp_path, cell):
+    manifest, corpus, texts = corpus_files(tmp_path)
+    (tmp_path / "open.txt").write_bytes(b"a\nb")
+    (tmp_path / "none.txt").write_bytes(b"")
+    paths = [corpus, f"{texts}/ar.txt", f"{texts}/en.txt", str(tmp_path / "open.txt"), str(tmp_path / "none.txt")]
+    got = {r.path: (r.bytes, r.lines, r.sha256) for r in V.file_facts(spark, paths, cell).collect()}
+    assert got[corpus] == (manifest["corpus"]["bytes"], 5, manifest["corpus"]["sha256"]) and got[paths[2]] == (None, None, None)
+    assert got[paths[3]][:2] == (3, 1) and got[paths[4]] == (0, 0, hashlib.sha256(b"").hexdigest())
+
+
+def test_manifest_problems(spark, tmp_path):
+    manifest, corpus, texts = corpus_files(tmp_path)
+    found = lambda m, left=(): sorted((r.label, r.problem) for r in V.manifest_problems(spark, m, corpus, texts, list(left)).collect())
+    assert found(manifest) == []
+    assert found({k: v for k, v in manifest.items() if k != "normalizer"}) == [("normalizer", "missing key")]
+    changed = json.loads(json.dumps(manifest))
+    changed["counts"]["ar"] |= {"accepted": 9, "sha256": "0"}
+    changed["counts"]["en"]["target"] = 7
+    changed["corpus"]["bytes"] = 1
+    assert found(changed, [f"{texts}/ar.txt", f"{texts}/x.tmp"]) == sorted([("ar", "lines differ"), ("ar", "sha256 differ"), ("en", "missing file"), ("corpus", "bytes differ"), (f"{texts}/ar.txt", "leftover")])
+    (tmp_path / "texts" / "en.txt").write_bytes(b"")
+    assert ("en", "sha256 differ") in found(manifest)
+    (tmp_path / "corpus.txt").unlink()
+    assert ("corpus", "missing file") in found(manifest)
+
+
+def test_training_problems(spark, tmp_path):
+    corpus, made = tmp_path / "c.txt", tmp_path / "tokenizer.json"
+    found = lambda **k: [r.problem.split(",")[0] for r in V.training_problems(spark, str(corpus), [str(made)], **k).collect()]
+    assert found() == ["missing file"]
+    corpus.write_text("fine line\n" * 10)
+    assert found() == ["100 bytes"] and found(least_bytes=50) == []
+    made.write_text("{}")
+    assert found(least_bytes=50) == ["would be written over"] and found(least_bytes=50, force=True) == []
+    assert found(least_bytes=50, force=True, protected=[str(made)]) == ["is protected"]
+    corpus.write_text("fine line\ntwo  spaces\n" * 5)
+    assert found(least_bytes=50, force=True) == ["5 of 10 lines aren't normal"]
