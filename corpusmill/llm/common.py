@@ -74,6 +74,7 @@ def map_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.StructFi
             for begin, end in slices(texts, most):
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(fn(texts.slice(begin, end - begin)), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(begin, end - begin) for i in range(len(keep))), *made], names=[*keep, *(f.name for f in fields)])
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return src.mapInArrow(run, schema)
 
@@ -97,5 +98,6 @@ def explode_texts(df: DataFrame, text: str, keep: list[str], fields: list[T.Stru
                 rows = pa.array(rows, pa.int64())
                 made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(cols, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(i).slice(begin, end - begin).take(rows) for i in range(len(keep))), *made], names=[*keep, *(f.name for f in fields)])
+        pa.default_memory_pool().release_unused()
 
     return src.mapInArrow(run, schema)

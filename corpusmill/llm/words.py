@@ -50,8 +50,8 @@ def run_bounds(kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(some & change[:-1]), np.flatnonzero(some & change[1:]) + 1
 
 
-#: Bytes that are hashed at a time: what a very long text takes beside itself doesn't grow with it.
-_BLOCK = 4 << 20
+#: Bytes that are hashed at a time: what a very long text takes beside itself doesn't grow with it, nor do the tables of powers that a worker keeps (16 bytes for each).
+_BLOCK = 1 << 20
 
 
 def _hashes(data: np.ndarray, kinds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
