@@ -108,9 +108,9 @@ class Shard:
         """Whether each suffix's first and last pair of words occur here."""
         if not len(rows):
             return np.zeros(0, bool)
-        pairs = np.unique(self.ranks[:-1] << np.uint64(32) | self.ranks[1:])
+        pairs = self.ranks[self.order] << np.uint64(32) | self.ranks[self.order + 1]  # ascending, as suffixes are
         fine = np.ones(len(rows), bool)
-        several = bench.n[rows] > 1
+        several = (bench.n[rows] > 1) & (self.depth > 1)
         for last in (False, True):
             p = (bench.starts[rows] + (bench.n[rows] - 2 if last else 0))[several]
             wanted = words[p] << np.uint64(32) | words[p + 1]
