@@ -205,7 +205,7 @@ SELECT count(*) FILTER (WHERE NOT seen AND r = 1) AS accepted, count(*) FILTER (
 p AS (SELECT doc_id, generate_subscripts(cs, 1) AS pos, unnest(cs) AS chunk FROM c), held AS (SELECT *, chunk IN (SELECT chunk FROM p WHERE doc_id % 10 <> 0) AS seen FROM p WHERE doc_id % 10 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY chunk, seen ORDER BY doc_id, pos) AS r FROM held),
 s AS (SELECT *, sum(CASE WHEN NOT seen AND r = 1 THEN 1 ELSE 0 END) OVER (ORDER BY doc_id, pos) AS so_far FROM r)
-SELECT count(*) FILTER (WHERE NOT seen AND r = 1) AS accepted, count(*) FILTER (WHERE NOT seen AND r > 1) AS duplicate, count(*) FILTER (WHERE seen) AS train_overlap FROM s WHERE so_far < 200 OR so_far = 200 AND NOT seen AND r = 1""",
+SELECT count(*) FILTER (WHERE NOT seen AND r = 1) AS accepted, count(*) FILTER (WHERE NOT seen AND r > 1) AS duplicate, count(*) FILTER (WHERE seen) AS train_overlap FROM s WHERE so_far < 50 OR so_far = 50 AND NOT seen AND r = 1""",
         "token_windows": """WITH s AS (SELECT w, (w * 2654435761 + 12345) % ((SELECT count(*) FROM documents) - 16) AS start FROM range(64) AS t(w)),
 d AS (SELECT w, doc_id - start AS k, n_chars FROM s JOIN documents ON doc_id BETWEEN start AND start + 16)
 SELECT w AS window, string_agg(n_chars::VARCHAR, ',' ORDER BY k) FILTER (WHERE k < 16) AS x, string_agg(n_chars::VARCHAR, ',' ORDER BY k) FILTER (WHERE k > 0) AS y FROM d GROUP BY w""",

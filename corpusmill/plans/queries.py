@@ -251,11 +251,11 @@ def heldout_build(spark, sf):
 
 
 def heldout_build_limited(spark, sf):
-    """As heldout_build, up to the 200th accepted chunk: what comes after it isn't counted."""
+    """As heldout_build, up to the 50th accepted chunk: what comes after it isn't counted."""
     held = docs(spark, sf).where("doc_id % 10 = 0").select("doc_id", F.posexplode(P.chunks(X.normalized(F.col("text")))).alias("pos", "line")).withColumn("raw", F.col("line"))
     train = C.digests(docs(spark, sf).where("doc_id % 10 <> 0").select(F.explode(P.chunks(X.normalized(F.col("text")))).alias("line")))
     j = C.verdicts(held, train, C.DOCUMENTS, order=["doc_id", "pos"], name="train_overlap").select("doc_id", "pos", "verdict")
-    return counted(C.until(stash(j, "verdicts"), 200, order=["doc_id", "pos"]), ["accepted", "duplicate", "train_overlap"])
+    return counted(C.until(stash(j, "verdicts"), 50, order=["doc_id", "pos"]), ["accepted", "duplicate", "train_overlap"])
 
 
 def first_of_category(spark, sf):
