@@ -5,7 +5,9 @@ import unicodedata
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from corpusmill.functions import text as X
 from corpusmill.plans import queries as Q
 
 
@@ -66,3 +68,20 @@ def test_windows_of_the_token_stream(spark, tmp_path):
         start = (w * 2_654_435_761 + 12_345) % (len(stream) - 16)
         assert [int(x) for x in r.x.split(",")] == stream[start : start + 16]
         assert [int(x) for x in r.y.split(",")] == stream[start + 1 : start + 17]
+
+
+def test_tokenizer_metrics_like_the_library(spark, sf):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text", X.normalized(F.col("text")).alias("t")).orderBy("doc_id").collect()
+    want = {}
+    for r in texts:
+        if r.t:
+            n = want.setdefault(r.lang, [0, 0, 0, 0])
+            for k, x in enumerate((1, len(r.t.split()), len(r.t), len(library.encode(r.t, add_special_tokens=False).ids))):
+                n[k] += x
+    got = Q.tokenizer_metrics(spark, sf).collect()
+    assert {r.lang: [r.samples, r.words, r.chars, r.tokens] for r in got} == want
+    assert all(r.tokens_per_word == pytest.approx(r.tokens / r.words) and r.roundtrip_failed == 0 and r.unk_rate == 0 for r in got)
