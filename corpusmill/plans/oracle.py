@@ -150,8 +150,8 @@ PARAMETERS = "(VALUES (768, 12, 4, 64, 2048, 32768, 8, true, true), (512, 8, 8,
 
 def oracle_sql() -> dict[str, str]:
     big = lambda x, name: f"({x})::BIGINT AS {name}"
-    padded = "' ' || chr(9) || substr(text, 1, 400) || chr(13) || chr(10) || chr(10) || chr(10) || ' x ' || chr(11) || ' y ' || chr(160)"
-    marked = "concat(chr(1605), chr(1615), chr(1581), chr(1600), chr(1600), chr(1605), chr(1614), chr(1617), chr(1583), ' ', substr(text, 1, 20))"
+    padded = "' ' || chr(9) || text || chr(13) || chr(10) || chr(10) || chr(10) || ' x ' || chr(11) || ' y ' || chr(160)"
+    marked = "concat(chr(1605), chr(1615), chr(1581), chr(1600), chr(1600), chr(1605), chr(1614), chr(1617), chr(1583), ' ', text)"
     return {
         "normalize_documents": f"SELECT doc_id, sha256({normalized('text')}) AS sha, {big('length(' + normalized('text') + ')', 'n')} FROM documents",
         "whitespace_functions": f"SELECT doc_id, {tidy('t')} AS tidy, {strip('t')} AS stripped, (contains(text, '  ') OR contains(text, chr(9)) OR {strip('text')} <> text) AS odd, replace(text, chr(10), ' ') AS flat FROM (SELECT doc_id, text, {padded} AS t FROM documents)",

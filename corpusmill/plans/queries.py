@@ -61,23 +61,11 @@ def normalize_documents(spark, sf):
 
 
 def whitespace_functions(spark, sf):
-    t = F.concat(F.lit(" \t"), F.substring("text", 1, 400), F.lit("\r\n\n\n x \x0b y \xa0"))
-    return docs(spark, sf).select("doc_id", X.tidy_whitespace(t).alias("tidy"), X.strip(t).alias("stripped"), X.odd_whitespace(F.col("text")).alias("odd"), X.flattened(F.col("text")).alias("flat"))
-
-
-def whitespace_functions_whole(spark, sf):
-    """As whitespace_functions, whose SQL cuts texts to 400 characters, over whole texts."""
     t = F.concat(F.lit(" \t"), F.col("text"), F.lit("\r\n\n\n x \x0b y \xa0"))
     return docs(spark, sf).select("doc_id", X.tidy_whitespace(t).alias("tidy"), X.strip(t).alias("stripped"), X.odd_whitespace(F.col("text")).alias("odd"), X.flattened(F.col("text")).alias("flat"))
 
 
 def arabic_marks(spark, sf):
-    t = F.concat(F.lit("مُحــمَّد "), F.substring("text", 1, 20))
-    return docs(spark, sf).select("doc_id", X.without_tatweel(t).alias("no_tatweel"), X.without_diacritics(t).alias("no_diacritics"), X.script_ratio(t, "arabic").alias("ratio"), X.language(t).alias("lang_id"))
-
-
-def arabic_marks_whole(spark, sf):
-    """As arabic_marks, whose SQL cuts texts to 20 characters, over whole texts."""
     t = F.concat(F.lit("مُحــمَّد "), F.col("text"))
     return docs(spark, sf).select("doc_id", X.without_tatweel(t).alias("no_tatweel"), X.without_diacritics(t).alias("no_diacritics"), X.script_ratio(t, "arabic").alias("ratio"), X.language(t).alias("lang_id"))
 

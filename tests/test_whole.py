@@ -25,7 +25,7 @@ def plain_tidy(t):
 
 def test_whitespace_of_whole_texts(spark, tmp_path):
     texts = ["word " * 200 + " \t x\r\n\r\n\r\n\r\ny \n z\f\x0b" + "tail  " * 300 + "　", "short", "", "a" * 401 + "\r\n", None]
-    got = {r.doc_id: r for r in Q.whitespace_functions_whole(spark, documents(spark, tmp_path, texts)).collect()}
+    got = {r.doc_id: r for r in Q.whitespace_functions(spark, documents(spark, tmp_path, texts)).collect()}
     assert len(got) == len(texts)
     for k, text in enumerate(texts[:-1]):
         t = " \t" + text + "\r\n\n\n x \x0b y \xa0"
@@ -36,7 +36,7 @@ def test_whitespace_of_whole_texts(spark, tmp_path):
 
 def test_marks_of_whole_texts(spark, tmp_path):
     texts = ["1234567890 " * 3 + "latin", "x" * 30 + " مُحــمَّد " + "y" * 500 + "ـًٰ", "١٢٣ ! " * 20, "", None]
-    got = {r.doc_id: r for r in Q.arabic_marks_whole(spark, documents(spark, tmp_path, texts)).collect()}
+    got = {r.doc_id: r for r in Q.arabic_marks(spark, documents(spark, tmp_path, texts)).collect()}
     assert len(got) == len(texts)
     for k, text in enumerate(texts[:-1]):
         t = "مُحــمَّد " + text
