@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..tables import forget, fresh_path, ship, spread, stash
+from ..tables import forget, fresh_path, settle, spread, stash
 from ..tables import table as read_table
 
 __all__ = ["SLICE_BYTES", "TEXT", "explode_texts", "forget", "fresh_path", "map_texts", "raw", "settle", "slices", "stash", "table"]
@@ -19,13 +19,6 @@ TEXT = "__text"
 SLICE_BYTES, SLICE_ROWS = 1 << 20, 1_024
 
 
-def settle(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches by bytes as well as by rows, so that long texts can't fill a Python worker, and gives workers this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return ship(spark)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, name))
 
