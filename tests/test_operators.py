@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +165,47 @@ def test_first_of_a_common_key(spark):
         expected[key] = min(expected.get(key, (o, k)), (o, k))
     assert got == {k for _, k in expected.values()}
     assert O.mark_first(df.where("false"), ["key"], ["o"], "new").count() == 0
+
+
+def test_stops_without_running_totals(spark, monkeypatch):
+    """Small targets take the first accepted rows; large ones take running totals of these alone. Both stop at the same row."""
+    rows = [(d, p, "accepted" if (d * 7 + p) % 3 else "quality") for d in range(40) for p in range(5)]
+    j = spark.createDataFrame(rows, "doc_id long, pos int, verdict string").repartition(5)
+    kept = lambda *a, **b: sorted(map(tuple, C.until(j, *a, order=["doc_id", "pos"], **b).collect()))
+    order = [r for r in rows if r[2] == "accepted"]
+    seen = []
+    with monkeypatch.context() as m:
+        m.setattr(C, "running", lambda *a: pytest.fail("small target"))
+        for n in (1, 50, len(order)):
+            assert kept(n) == [r for r in rows if r <= order[n - 1]]
+            assert kept(n, document="doc_id") == [r for r in rows if r[0] <= order[n - 1][0]]
+            seen.append(kept(n))
+        assert kept(len(order) + 1) == rows
+    monkeypatch.setattr(C, "FIRST_ROWS", 0)
+    assert [kept(n) for n in (1, 50, len(order))] == seen and kept(len(order) + 1) == rows
+
+
+def test_sentences_are_dealt_by_length(spark):
+    """Against the definition, chunk by chunk, on texts of many sentences, with all sizes around the limits."""
+
+    def plain(text, limit, least, packing):
+        parts = []
+        for line in re.split("\r\n|\r|\n", text):
+            found = line.strip().split(". ")
+            parts += [p.strip() + "." * (k < len(found) - 1) for k, p in enumerate(found) if p.strip()]
+        done, held, size = [], "", 0
+        for p in parts:
+            if held and size + len(p) + 1 > limit:
+                done, held, size = [*done, held], p, len(p)
+            else:
+                held = f"{held} {p}" if held else p
+                size = len(held) + (size if packing == "cumulative" else 0)
+        return [c for c in [*done, held] if c and least <= len(c) <= limit]
+
+    texts = ["", "a. b", " . \n. ", "x" * 90, "\r\n".join(f"{'ab ' * (k % 9)}é{k}. {'c' * (k % 23)}. " for k in range(900)), "one. two\n\n three . four"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    for limit, least, packing in ((40, 5, "greedy"), (41, 1, "greedy"), (60, 3, "cumulative"), (8000, 40, "greedy")):
+        got = {r.k: r.c for r in df.select("k", P.chunks(F.col("t"), limit=limit, least=least, packing=packing).alias("c")).collect()}
+        assert [got[k] for k in range(len(texts))] == [plain(t, limit, least, packing) for t in texts]
+    plan = df.select(P.chunks(F.col("t")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # sentences are found once, and stripped once: three times each before
