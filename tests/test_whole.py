@@ -85,3 +85,40 @@ def test_tokenizer_metrics_like_the_library(spark, sf):
     got = Q.tokenizer_metrics(spark, sf).collect()
     assert {r.lang: [r.samples, r.words, r.chars, r.tokens] for r in got} == want
     assert all(r.tokens_per_word == pytest.approx(r.tokens / r.words) and r.roundtrip_failed == 0 and r.unk_rate == 0 for r in got)
+
+
+def test_tables_of_the_token_stream_have_a_row_for_each_text(spark, tmp_path, monkeypatch):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from corpusmill.operators import ordering, tokens
+
+    sizes, stash = [], tokens.stash
+
+    def counted(df, label, *a):
+        out = stash(df, label, *a)
+        sizes.append((label, out.count(), "ids" in out.columns))
+        return out
+
+    monkeypatch.setattr(tokens, "stash", counted)
+    monkeypatch.setattr(ordering, "stash", counted)
+    texts = ["some words of a text " * 40, "more of it, " * 30, None, "", "ﬁ ① “odd” text " * 20]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string")
+    stream = tokens.token_stream(df, "t", tokenizers.path("byte_bpe_50k.json"), ["k"])
+    assert stream.count() > 500 and max(n for _, n, _ in sizes) == 3
+    assert {label for label, _, ids in sizes if ids} == {"ids", "stream"}  # keys and sizes alone are put in order
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizers.path("byte_bpe_50k.json"))
+    assert [r.token_id for r in stream.orderBy("pos").collect()] == [x for t in texts if t for x in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_metrics_take_no_ids_out_of_python(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    from corpusmill.operators import tokens
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([("en", "some words <|endoftext|> é́ "), ("en", None), ("fr", ""), ("de", "a" * 70_000 + " 1 b")], "g string, t string")
+    m = tokens.measured(df, "t", path, ["g"], unknown=0)
+    assert "array<int>" not in m._jdf.queryExecution().analyzed().treeString() and "ids" not in m._jdf.queryExecution().analyzed().toString()
+    for t, e, f in df.select("t", tokens.encoded(path, F.col("t")), tokens.token_figures(path, F.col("t"), 0)).collect():
+        assert (e is None) == (f is None) == (t is None)
+        assert t is None or (f.n, f.u, f.same) == (len(e.ids), e.ids.count(0), e.same)
