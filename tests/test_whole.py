@@ -122,3 +122,21 @@ def test_metrics_take_no_ids_out_of_python(spark):
     for t, e, f in df.select("t", tokens.encoded(path, F.col("t")), tokens.token_figures(path, F.col("t"), 0)).collect():
         assert (e is None) == (f is None) == (t is None)
         assert t is None or (f.n, f.u, f.same) == (len(e.ids), e.ids.count(0), e.same)
+
+
+def test_stream_of_as_many_files_as_partitions(spark, tmp_path, monkeypatch):
+    """The files of the stream grow in number; two batches take them all, and their state is kept out of the heap."""
+    import os
+
+    from corpusmill import tables
+
+    made, fresh = {}, tables.fresh_path
+    monkeypatch.setattr(tables, "fresh_path", lambda spark, label: made.setdefault(label, fresh(spark, label)))
+    folder = documents(spark, tmp_path, [f"this is line number {k // 2} of a text, long enough and of different words" for k in range(200)])
+    monkeypatch.setattr(Q, "docs", lambda spark, sf: tables.table(spark, sf, "documents").repartition(12))
+    (got,) = Q.incremental_dedup(spark, folder).collect()
+    assert got.n == 100
+    local = lambda label: made[label].removeprefix("file:")
+    files = [f for f in os.listdir(local("stream-in")) if f.endswith(".parquet")]
+    assert len(files) >= 10 and len([f for f in os.listdir(local("stream-checkpoint") + "/commits") if f.isdigit()]) == 2
+    assert "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
